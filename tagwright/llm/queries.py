@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, html_extract, lang_id, ngram_join, pii, warc
+from . import bpe, decontaminate, exact_dedup, html_extract, lang_id, ngram_join, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, lang_id.learn(docs))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
