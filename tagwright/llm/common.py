@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no live plan refers to: it does so when the driver's
+    references are collected, which a small heap may not do for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete the files of staged frames that no later step reads."""
     for df in frames:

@@ -6,13 +6,14 @@ class of every document (connected component of links) is found exactly, without
 1. *Prefix keys.* With any global order of shingles, linked sets share one of the first
    ``n - ceil(n * num / den) + 1`` shingles of each. The order is rarest first by a counting
    sketch of fixed size; how good its counts are affects speed only. Equal sets are sent once a task.
-2. *Hubs.* All documents with a key are compared with the key's smallest one only, so candidates
-   are at most as many as prefix keys. Keys that the sketch finds hot are salted, and the salts'
-   hubs compared among each other.
-3. *Tiles.* A key whose documents are then still in several components is cut into tiles by size
-   band; pairs of tiles in the same or neighbouring bands compare bitmaps, whose bit counts bound
-   the overlap from above, and only pairs across components that pass are verified. This repeats,
-   with more pairs a turn, until no pair is left.
+2. *Hubs.* The smallest document of a key is its hub. Each document is compared with the smallest
+   of its keys' hubs, and with its only partner in keys of two documents: candidates are at most
+   as many as prefix keys. Keys that the sketch finds hot are salted, and the salts' hubs compared.
+3. *Tiles.* Keys whose documents are then still in several components, one for each set of
+   documents, are cut into tiles by size band; pairs of tiles in the same or neighbouring bands
+   compare bitmaps, whose bit counts bound the overlap from above, and of the pairs across two
+   components that pass the likeliest few are verified. A tile that holds pairs back says so, and
+   further turns take more, until the components are one or no pair is left.
 
 Candidates are verified by intersecting sorted arrays of 64-bit shingle hashes.
 """
@@ -20,6 +21,7 @@ Candidates are verified by intersecting sorted arrays of 64-bit shingle hashes.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, rows_of, stage
+from .common import components, release, rows_of, stage
 
 #: Counters of the sketch, and how many of its largest are kept for the order (fixed sizes).
 BUCKETS, HEAVY = 1 << 22, 1 << 16
 #: Documents of one hot key that a task takes; members that a hub is compared with in one task.
 SALT_ROWS, HUB_ROWS = 20_000, 500
 #: Documents of one tile; pairs that a tile sends to verification for two components in the first turn.
-TILE_ROWS, TILE_PAIRS = 512, 64
+TILE_ROWS, TILE_PAIRS = 512, 32
 #: Bits of the largest bitmap; smaller sets have smaller ones.
-MAX_BITS = 4096
+MAX_BITS = 1 << 15
 _U = np.uint64
 
 
@@ -73,7 +75,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def bitmap(sig: np.ndarray) -> bytes:
-    bits = min(MAX_BITS, max(64, 1 << int(max(1, len(sig)) - 1).bit_length()))
+    bits = min(MAX_BITS, max(64, 2 << int(max(1, len(sig)) - 1).bit_length()))
     on = np.zeros(bits, np.uint8)
     on[(sig & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(on, bitorder="little").tobytes()
@@ -224,6 +226,37 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) ->
     return met.select("a", "part", "other", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
+def prune(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps allow the threshold."""
+    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    met = pairs.join(one, "a").join(two, "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for rows in rows_of(batch, 2048):
+                for r in rows:
+                    size = min(len(r["xa"]), len(r["xb"]))
+                    x, y = _fold(r["xa"], size), _fold(r["xb"], size)
+                    only_x = int.from_bytes((x & ~y).tobytes()).bit_count()
+                    only_y = int.from_bytes((y & ~x).tobytes()).bit_count()
+                    both = min(r["na"] - only_x, r["nb"] - only_y)
+                    if den * both >= num * (r["na"] + r["nb"] - both):
+                        a.append(r["a"])
+                        b.append(r["b"])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     if not len(x) or not len(y) or den * min(len(x), len(y)) < num * max(len(x), len(y)):
         return False
@@ -246,34 +279,52 @@ def _compare_tiles(num: int, den: int, most: int):
         left, right = sides
         if not left or not right:
             return [], []
-        maps = [np.stack([_fold(r[4], size) for r in side]) for side in sides]
+        maps = [[_fold(r[4], size) for r in side] for side in sides]
         ns = [np.array([r[3] for r in side], np.int64) for side in sides]
         comps = [np.array([r[2] for r in side], np.int64) for side in sides]
-        a, b = [], []
-        count: dict[tuple[int, int], int] = {}
+        best: dict[tuple[int, int], list] = {}
+        small = len(left) * len(right) <= 100  # whole numbers as bitmaps, else arrays
+        if small:
+            ints = [[int.from_bytes(m.tobytes()) for m in side] for side in maps]
+        else:
+            maps = [np.stack(m) for m in maps]
         for i, r in enumerate(left):
-            ok = comps[1] != comps[0][i]
-            ok &= (den * np.minimum(ns[1], ns[0][i]) >= num * np.maximum(ns[1], ns[0][i]))
-            if same:
-                ok[: i + 1] = False
-            js = np.flatnonzero(ok)
-            if not len(js):
-                continue
-            here = maps[0][i]
-            only_i = np.bitwise_count(here & ~maps[1][js]).sum(axis=1, dtype=np.int64)
-            only_j = np.bitwise_count(maps[1][js] & ~here).sum(axis=1, dtype=np.int64)
-            most_both = np.minimum(ns[0][i] - only_i, ns[1][js] - only_j)
-            js = js[den * most_both >= num * (ns[0][i] + ns[1][js] - most_both)]
-            for j in js:
-                pair = tuple(sorted((int(comps[0][i]), int(comps[1][j]))))
-                n = count[pair] = count.get(pair, 0) + 1
-                if n == most + 1:  # a null pair says that some are left for the next turn
-                    a.append(None)
-                    b.append(None)
-                elif n <= most:
-                    x, y = r[1], right[j][1]
-                    a.append(min(x, y))
-                    b.append(max(x, y))
+            if small:
+                passed = []
+                for j in range(i + 1 if same else 0, len(right)):
+                    o = right[j]
+                    if r[2] != o[2] and den * min(r[3], o[3]) >= num * max(r[3], o[3]):
+                        x, y = ints[0][i], ints[1][j]
+                        passed.append((j, min(r[3] - (x & ~y).bit_count(), o[3] - (y & ~x).bit_count())))
+            else:
+                ok = comps[1] != comps[0][i]
+                ok &= den * np.minimum(ns[1], ns[0][i]) >= num * np.maximum(ns[1], ns[0][i])
+                if same:
+                    ok[: i + 1] = False
+                js = np.flatnonzero(ok)
+                if not len(js):
+                    continue
+                here, there = maps[0][i], maps[1][js]
+                only_i = np.bitwise_count(here & ~there).sum(axis=1, dtype=np.int64)
+                only_j = np.bitwise_count(there & ~here).sum(axis=1, dtype=np.int64)
+                passed = zip(js.tolist(), np.minimum(ns[0][i] - only_i, ns[1][js] - only_j).tolist(), strict=True)
+            for j, both in passed:
+                o = right[j]
+                if den * both >= num * (r[3] + o[3] - both):
+                    item = (both / (r[3] + o[3] - both), min(r[1], o[1]), max(r[1], o[1]))
+                    heap = best.setdefault((min(r[2], o[2]), max(r[2], o[2])), [])
+                    if len(heap) <= most:
+                        heapq.heappush(heap, item)
+                    else:
+                        heapq.heappushpop(heap, item)
+        a, b = [], []
+        for heap in best.values():
+            if len(heap) > most:  # a null pair says that some are left for the next turn
+                a.append(None)
+                b.append(None)
+            for _, x, y in sorted(heap, reverse=True)[:most]:
+                a.append(x)
+                b.append(y)
         return a, b
 
     def run(batches):
@@ -301,7 +352,10 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, num: int
     """Candidate pairs across components, from keys whose documents are in more than one."""
     lab = labels.select(F.col("node"), F.col("component").alias("known"))
     members = groups.join(lab, "node", "left").select("key", "salt", "node", F.coalesce("known", "node").alias("comp"))
-    still = members.groupBy("key", "salt").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "salt")
+    # Keys of one passage have the same documents: of those one is enough.
+    same = [F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")]
+    still = members.groupBy("key", "salt").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo <> hi")
+    still = still.groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "salt")).alias("k")).select("k.key", "k.salt")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
     full = stage(members.join(still, ["key", "salt"]).join(sizes, "node").withColumn("band", band), "open-members")
     tiles = full.groupBy("key", "salt", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
@@ -351,32 +405,40 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     run, schema = _key_pass(width, num, den, heavy)
     keyed = slim.mapInArrow(run, schema).repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
     mined = stage(keyed.mapInArrow(_mine_hubs, "kind byte, key long, salt int, hub long, node long"), "jaccard-hubs")
+    release(docs.sparkSession)
     hot = mined.where("kind = 2").select("key", "node")
-    over = hot.groupBy("key").agg(F.min("node").alias("a")).join(hot, "key").select("a", F.col("node").alias("b"))
-    pairs = mined.where("kind < 2").select(F.col("hub").alias("a"), F.col("node").alias("b")).union(over).where("a <> b").distinct()
-    pairs = stage(pairs, "jaccard-pairs")
-    # The texts of documents that share a key with any other: later turns need no other text.
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stage(slim.join(ends, "doc_id", "left_semi"), "jaccard-texts")
-    links = stage(verify(pairs, texts, width, num, den), "jaccard-links")
-
+    over = hot.groupBy("key").agg(F.min("node").alias("a")).join(hot, "key").select("a", F.col("node").alias("b")).where("a <> b")
+    near = mined.where("kind < 2 and hub <> node").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
+    two = mined.where("kind = 0").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     alive = sets.where("n > 0 and doc_id is not null")
+    sizes = alive.select(F.col("doc_id").alias("node"), "n", "bits")
     firsts = alive.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("h1", "h2", "a")
     equal = stage(alive.join(firsts, ["h1", "h2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "jaccard-equal")
-    sizes = alive.select(F.col("doc_id").alias("node"), "n", "bits")
+
+    # Of each document's hubs the smallest first; then partners still in another component.
+    near = stage(prune(near, sizes, num, den), "jaccard-near")
+    ends = mined.where("kind < 2").select(F.col("node").alias("doc_id")).union(mined.where("kind < 2").select("hub")).distinct()
+    texts = stage(slim.join(ends, "doc_id", "left_semi"), "jaccard-texts")
+    links = stage(verify(near, texts, width, num, den), "jaccard-links")
+    release(docs.sparkSession)
+    labels = components(links.union(equal), "jaccard")
+    rest = stage(prune(_across(two.union(over).distinct().join(near, ["a", "b"], "left_anti"), labels), sizes, num, den), "jaccard-rest")
+    links = stage(links.union(verify(rest, texts, width, num, den)), "jaccard-links")
+    tried = stage(near.union(rest), "jaccard-tried")
     groups = mined.where("kind = 1").select("key", "salt", "node").union(hot.select("key", F.lit(-1).alias("salt"), "node")).distinct()
 
-    most, tried = TILE_PAIRS, pairs
+    most = TILE_PAIRS
     while True:
+        fresh = stage(_open_pairs(groups, labels, sizes, num, den, most).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+        release(docs.sparkSession)
+        found = fresh.where("a is not null")
+        links = stage(links.union(verify(found, texts, width, num, den)), "jaccard-links")
         labels = components(links.union(equal), "jaccard")
-        found = _open_pairs(groups, labels, sizes, num, den, most)
-        fresh = stage(found.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-        if fresh.isEmpty():
+        if fresh.where("a is null").isEmpty():  # no tile held any pair back
             break
-        fresh_pairs = fresh.where("a is not null")
-        tried = stage(tried.union(fresh_pairs), "jaccard-tried")
-        links = stage(links.union(verify(fresh_pairs, texts, width, num, den)), "jaccard-links")
-        most *= 8
+        tried = stage(tried.union(found), "jaccard-tried")
+        release(docs.sparkSession)
+        most *= 64
     out = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
