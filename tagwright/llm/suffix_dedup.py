@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -181,7 +182,7 @@ _SEG_ARROW = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("doc_id", p
 
 def _segments(length: int, blocks: int):
     """Documents with their shared minimizers: the segments to compare (block >= 0), once for equal ones
-    of a task, and what is already known to be repeated (block -1; seg holds start and end)."""
+    of a task, and what is already known to be repeated (block -1; key is the end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # segment digest -> (smallest document so far, its identity, start, key, bytes)
@@ -226,7 +227,7 @@ def _segments(length: int, blocks: int):
                                 best[d], mine = mine, old
                             elif r["doc_id"] == old[0]:
                                 continue
-                            known.append({"block": -1, "key": 0, "doc_id": mine[0], "h": mine[1], "start": mine[2], "seg": len(seg).to_bytes(8, "little")})
+                            known.append({"block": -1, "key": mine[2] + len(seg), "doc_id": mine[0], "h": mine[1], "start": mine[2], "seg": None})
                 if known:
                     yield pa.RecordBatch.from_pylist(known, schema=_SEG_ARROW)
                 if size > 64 << 20:
@@ -251,18 +252,18 @@ class RunIndex:
         for i, s in enumerate(segs):
             text[at[i] : at[i] + len(s)] = np.frombuffer(s, np.uint8).astype(np.int64) + 1
         owner = np.repeat(np.array([*docs, docs[-1] if docs else 0], np.int64), np.r_[size + 1, 1])
-        rank = text.copy()
-        width, prev = 1, None
-        plan = []
-        while width * 2 <= length:
-            plan.append(width)
+        # Ranks by the first seven symbols at once (nine bits each), then by doubling.
+        width = min(7, length // 2)
+        rank = np.zeros(n, np.int64)
+        for i in range(width):
+            rank[: n - i] |= text[i:] << (9 * (width - 1 - i))
+        rank = self._dense(rank)
+        while width * 2 < length - 1:
+            rank = self._pair(rank, width)
             width *= 2
-        for step in plan:
-            rank = self._pair(rank, step)
-        short, full = length - 1 - width, length - width  # shifts that make length - 1 and length
-        prev = self._pair(rank, short) if short > 0 else rank
-        rank = self._pair(rank, full) if full > 0 else rank
-        order = np.argsort(rank, kind="stable")
+        prev = self._pair(rank, length - 1 - width)
+        rank = self._pair(rank, length - width)
+        order = np.argsort(rank * n + np.arange(n))  # ties by position
         self.first_doc = owner[order]  # read at the start of a context's run only
         lead = prev[order]
         self.short_start = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
@@ -285,11 +286,14 @@ class RunIndex:
         other = np.zeros_like(rank)
         if shift < len(rank):
             other[:-shift] = rank[shift:] + 1
-        key = rank * (int(rank.max()) + 2) + other
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
-        out = np.empty_like(rank)
-        out[order] = new
+        return RunIndex._dense(rank * (int(rank.max()) + 2) + other)
+
+    @staticmethod
+    def _dense(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        sorted_ = key[order]
+        out = np.empty_like(key)
+        out[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
         return out
 
     def _rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -335,20 +339,30 @@ def _judge(length: int):
     """Segments sorted by block: spans of strings that a smaller document has, per document."""
 
     def told(rows: list[dict]) -> list[dict]:
-        rows.sort(key=lambda r: (r["doc_id"], r["start"]))
-        docs = [r["doc_id"] for r in rows]
-        if docs[0] == docs[-1]:
-            return []
-        segs = [r["seg"] for r in rows]
-        first = RunIndex(segs, docs, length).first_documents(segs)
-        out = []
-        for r, f in zip(rows, first, strict=True):
+        out, open_ = [], []
+        for _, group in groupby(rows, key=lambda r: r["key"]):
+            least: dict[bytes, int] = {}
+            mine = list(group)
+            if len(mine) < 2:
+                continue
+            for r in mine:
+                least[r["seg"]] = min(r["doc_id"], least.get(r["seg"], r["doc_id"]))
+            # Equal segments of several tasks: all but the smallest document's are repeated whole.
+            out += [{"doc_id": r["doc_id"], "h": r["h"], "start": r["start"], "end": r["start"] + len(r["seg"])} for r in mine if r["doc_id"] > least[r["seg"]]]
+            mine = [r for r in mine if r["doc_id"] == least[r["seg"]]]
+            if len({r["doc_id"] for r in mine}) > 1:
+                open_ += mine
+        if not open_:
+            return out
+        open_.sort(key=lambda r: (r["doc_id"], r["start"]))
+        segs = [r["seg"] for r in open_]
+        first = RunIndex(segs, [r["doc_id"] for r in open_], length).first_documents(segs)
+        for r, f in zip(open_, first, strict=True):
             gone = np.flatnonzero(f < r["doc_id"])
             if len(gone):
-                cut = np.flatnonzero(np.r_[True, np.diff(gone) > 1])
-                for x, y in zip(cut, np.r_[cut[1:], len(gone)], strict=True):
-                    a, b = int(gone[x]), int(gone[y - 1]) + length
-                    out.append({"doc_id": r["doc_id"], "h": r["h"], "start": r["start"] + a, "end": r["start"] + b})
+                cut = np.flatnonzero(np.diff(gone) > 1) + 1
+                for part in np.split(gone, cut):
+                    out.append({"doc_id": r["doc_id"], "h": r["h"], "start": r["start"] + int(part[0]), "end": r["start"] + int(part[-1]) + length})
         return out
 
     arrow = pa.schema([(c, pa.int64()) for c in ("doc_id", "h", "start", "end")])
@@ -395,7 +409,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     segs = stage(texts.mapInArrow(_segments(length, 1 << 30), _SEG), "repeat-segments")
     met = segs.where("block >= 0").repartition("key").sortWithinPartitions("key")
     judged = met.mapInArrow(_judge(length), "doc_id long, h long, start long, end long")
-    known = segs.where("block < 0").select("doc_id", "h", "start", (F.col("start") + F.conv(F.hex(F.reverse("seg")), 16, 10).cast("long")).alias("end"))
+    known = segs.where("block < 0").select("doc_id", "h", "start", F.col("key").alias("end"))
     return scanned.where("kind = 0"), texts.select("doc_id", "h", "text"), judged.union(known)
 
 
