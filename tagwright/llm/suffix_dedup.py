@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, stage
+from .common import release, rows_of, stage
 
 #: Bytes of the substrings that minimizers are chosen from.
 GRAM = 16
@@ -397,6 +397,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     packed = slim.mapInArrow(_scan(length, 4 * parts, True), _SCAN).select("bucket", "kind", "doc_id", "keys").repartition("bucket").sortWithinPartitions("bucket")
     elsewhere = packed.mapInArrow(_meet, "doc_id long, keys binary")
     shared = scanned.where("kind = 1").select("doc_id", "keys").union(elsewhere).groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    release(spark)
     texts = stage(slim.join(shared, "doc_id").withColumn("h", F.lit(None).cast("long")), "repeat-texts")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,6 +407,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             yield batch.set_column(at, batch.schema.field(at), h)
 
     texts = texts.mapInArrow(named, texts.schema)
+    release(spark)
     segs = stage(texts.mapInArrow(_segments(length, 1 << 30), _SEG), "repeat-segments")
     met = segs.where("block >= 0").repartition("key").sortWithinPartitions("key")
     judged = met.mapInArrow(_judge(length), "doc_id long, h long, start long, end long")
@@ -422,6 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """
     all_docs, texts, spans = repeated_spans(docs, length, id_col, text_col)
     by_doc = stage(spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "repeat-spans")
+    release(docs.sparkSession)
     hit = texts.join(by_doc, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
     arrow = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha", pa.string()), ("kept", pa.binary())])
 
