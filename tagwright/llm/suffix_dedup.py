@@ -8,7 +8,7 @@ whose minimizer occurs in several documents are looked at further:
 1. Each task finds its minimizers. Those in several of its documents are known at once; of the
    others one packed record a task goes to the shuffle, which tells which occur elsewhere.
 2. Documents with such minimizers emit those segments. Equal segments of one task travel once,
-   for their smallest document; the others are wholly repeated.
+   with all their places in the smallest document; the others are wholly repeated.
 3. Segments meet by minimizer, in blocks. A block's text is sorted by contexts of ``length`` bytes
    (documents ascending within a context) into a run-compressed Burrows-Wheeler transform, with
    the first document kept for the start of each context's run. Streaming matching statistics,
@@ -176,8 +176,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(held)
 
 
-_SEG = "block long, key long, doc_id long, h long, start long, seg binary"
-_SEG_ARROW = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("seg", pa.binary())])
+#: ``more``: further places of the segment in the document, as pairs (h, start).
+_SEG = "block long, key long, doc_id long, h long, start long, seg binary, more binary"
+_SEG_ARROW = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("seg", pa.binary()), ("more", pa.binary())])
 
 
 def _segments(length: int, blocks: int):
@@ -187,12 +188,15 @@ def _segments(length: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # segment digest -> (smallest document so far, its identity, start, key, bytes)
         best: dict[bytes, tuple] = {}
+        # segment digest -> further places (identity, start) in that document
+        more: dict[bytes, set] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             out = []
-            for doc, h, start, key, seg in best.values():
-                out.append({"block": key % blocks, "key": key, "doc_id": doc, "h": h, "start": start, "seg": seg})
+            for d, (doc, h, start, key, seg) in best.items():
+                places = np.array(sorted(more[d]), np.int64).tobytes() if d in more else None
+                out.append({"block": key % blocks, "key": key, "doc_id": doc, "h": h, "start": start, "seg": seg, "more": places})
                 if len(out) == 4096:
                     yield pa.RecordBatch.from_pylist(out, schema=_SEG_ARROW)
                     out = []
@@ -223,16 +227,22 @@ def _segments(length: int, blocks: int):
                                 best[d] = mine
                                 size += len(seg) + 200
                                 continue
+                            if r["doc_id"] == old[0]:
+                                if (r["h"], a) != old[1:3] and (r["h"], a) not in more.get(d, ()):
+                                    more.setdefault(d, set()).add((r["h"], a))
+                                    size += 200
+                                continue
+                            places = [mine[1:3]]
                             if r["doc_id"] < old[0]:
                                 best[d], mine = mine, old
-                            elif r["doc_id"] == old[0]:
-                                continue
-                            known.append({"block": -1, "key": mine[2] + len(seg), "doc_id": mine[0], "h": mine[1], "start": mine[2], "seg": None})
+                                places = [old[1:3], *more.pop(d, ())]
+                            known += [{"block": -1, "key": at + len(seg), "doc_id": mine[0], "h": h, "start": at, "seg": None, "more": None} for h, at in places]
                 if known:
                     yield pa.RecordBatch.from_pylist(known, schema=_SEG_ARROW)
                 if size > 64 << 20:
                     yield from flush()
                     best.clear()
+                    more.clear()
                     size = 0
         yield from flush()
 
@@ -335,6 +345,16 @@ class RunIndex:
         return [res[cut[i] : cut[i + 1]] for i in range(len(segs))]
 
 
+def _places(r: dict, a: int, b: int) -> list[dict]:
+    """A segment's bytes from a to b at each of its places in the document, touching ones as one span."""
+    if not r["more"]:
+        return [{"doc_id": r["doc_id"], "h": r["h"], "start": r["start"] + a, "end": r["start"] + b}]
+    at = np.r_[np.frombuffer(r["more"], np.int64).reshape(-1, 2), [[r["h"], r["start"]]]]
+    h, start = at[np.lexsort((at[:, 1], at[:, 0]))].T
+    cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (start[1:] - start[:-1] > b - a)])
+    return [{"doc_id": r["doc_id"], "h": int(h[x]), "start": int(start[x]) + a, "end": int(start[y]) + b} for x, y in zip(cut, np.r_[cut[1:], len(h)] - 1, strict=True)]
+
+
 def _judge(length: int):
     """Segments sorted by block: spans of strings that a smaller document has, per document."""
 
@@ -348,7 +368,9 @@ def _judge(length: int):
             for r in mine:
                 least[r["seg"]] = min(r["doc_id"], least.get(r["seg"], r["doc_id"]))
             # Equal segments of several tasks: all but the smallest document's are repeated whole.
-            out += [{"doc_id": r["doc_id"], "h": r["h"], "start": r["start"], "end": r["start"] + len(r["seg"])} for r in mine if r["doc_id"] > least[r["seg"]]]
+            for r in mine:
+                if r["doc_id"] > least[r["seg"]]:
+                    out += _places(r, 0, len(r["seg"]))
             mine = [r for r in mine if r["doc_id"] == least[r["seg"]]]
             if len({r["doc_id"] for r in mine}) > 1:
                 open_ += mine
@@ -362,7 +384,7 @@ def _judge(length: int):
             if len(gone):
                 cut = np.flatnonzero(np.diff(gone) > 1) + 1
                 for part in np.split(gone, cut):
-                    out.append({"doc_id": r["doc_id"], "h": r["h"], "start": r["start"] + int(part[0]), "end": r["start"] + int(part[-1]) + length})
+                    out += _places(r, int(part[0]), int(part[-1]) + length)
         return out
 
     arrow = pa.schema([(c, pa.int64()) for c in ("doc_id", "h", "start", "end")])
@@ -378,7 +400,7 @@ def _judge(length: int):
                         held, size = [], 0
                     at = r["key"]
                     held.append(r)
-                    size += len(r["seg"])
+                    size += len(r["seg"]) + len(r["more"] or b"")
         if held:
             yield pa.RecordBatch.from_pylist(told(held), schema=arrow)
 

@@ -276,6 +276,34 @@ def test_repeats(spark, docs, rows):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_at_several_places(spark):
+    """A passage twice in one document, in two texts of one id, and a long run, over several tasks."""
+    a, b, c = (prose(50, k) for k in (11, 12, 13))
+    rows = [(1, a + prose(9, 20)), (2, "q" * 3000), (3, prose(9, 21) + b), (4, c + "."), (5, b + c + b), (6, "q" * 3000)]
+    rows += [(7, a + " x " + a + prose(9, 22) + a), (8, c + prose(9, 23)), (8, prose(9, 24) + c), (9, b + "-" + b + c)]
+    own = {}
+    for i, t in rows:
+        for k in range(len(t.encode()) - 49):
+            own.setdefault(t.encode()[k : k + 50], i)
+    want = Counter()
+    for i, t in rows:
+        raw, gone = t.encode(), set()
+        for k in range(len(raw) - 49):
+            if own[raw[k : k + 50]] < i:
+                gone.update(range(k, k + 50))
+        want[i, len(raw), len(gone)] += 1
+    whole = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.enabled")}
+    try:
+        for slices, split in ((len(rows), "1k"), (1, "128m")):  # a task for each document, and one for all, larger ids first
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.adaptive.enabled", slices == 1)
+            table = spark.createDataFrame(spark.sparkContext.parallelize(rows[::-1], slices), "doc_id long, text string")
+            assert Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(table).collect()) == want
+    finally:
+        for name, value in whole.items():
+            spark.conf.set(name, value)
+
+
 def test_run_index():
     rng = random.Random(0)
     base = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(50, 90))) for _ in range(6)]
