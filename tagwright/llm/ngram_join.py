@@ -417,7 +417,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
 
     # Of each document's hubs the smallest first; then partners still in another component.
     near = stage(prune(near, sizes, num, den), "jaccard-near")
-    ends = mined.where("kind < 2").select(F.col("node").alias("doc_id")).union(mined.where("kind < 2").select("hub")).distinct()
+    ends = mined.select(F.col("node").alias("doc_id")).union(mined.select("hub")).distinct()
     texts = stage(slim.join(ends, "doc_id", "left_semi"), "jaccard-texts")
     links = stage(verify(near, texts, width, num, den), "jaccard-links")
     release(docs.sparkSession)

@@ -195,6 +195,15 @@ def test_jaccard_small_tiles(spark, monkeypatch):
     assert got == _components(rows)
 
 
+def test_jaccard_near_copy_of_a_hot_text(spark, monkeypatch):
+    """One near copy beside many exact copies: each is alone in its salt of every key they share."""
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 2)
+    w = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w)) for i in range(1, 41)] + [(99, " ".join([*w[:20], "new", *w[21:]])), (100, prose(60, 5))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows).coalesce(1)).collect()}
+    assert got == _components(rows)
+
+
 def test_jaccard_odd_tables(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (7, None), (8, "A B c d e f")]
