@@ -8,12 +8,14 @@ class of every document (connected component of links) is found exactly, without
    sketch of fixed size; how good its counts are affects speed only. Equal sets are sent once a task.
 2. *Hubs.* The smallest document of a key is its hub. Each document is compared with the smallest
    of its keys' hubs, and with its only partner in keys of two documents: candidates are at most
-   as many as prefix keys. Keys that the sketch finds hot are salted, and the salts' hubs compared.
+   as many as prefix keys. Keys that the sketch finds hot are salted, and the salts' hubs compared;
+   the next step takes such a key's documents over all salts together.
 3. *Tiles.* Keys whose documents are then still in several components, one for each set of
    documents, are cut into tiles by size band; pairs of tiles in the same or neighbouring bands
    compare bitmaps, whose bit counts bound the overlap from above, and of the pairs across two
    components that pass the likeliest few are verified. A tile that holds pairs back says so, and
-   further turns take more, until the components are one or no pair is left.
+   further turns take more, until the components are one or no pair is left. Of a hot key's largest
+   component, which is settled within itself, tiles meet those of the other documents only.
 
 Candidates are verified by intersecting sorted arrays of 64-bit shingle hashes.
 """
@@ -356,17 +358,22 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, num: int
     same = [F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")]
     still = members.groupBy("key", "salt").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo <> hi")
     still = still.groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "salt")).alias("k")).select("k.key", "k.salt")
+    # A hot key's largest component: its tiles come after the others and do not meet each other.
+    main = members.where("salt = -1").groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
+    still = still.join(main.withColumn("salt", F.lit(-1)), ["key", "salt"], "left")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    full = stage(members.join(still, ["key", "salt"]).join(sizes, "node").withColumn("band", band), "open-members")
-    tiles = full.groupBy("key", "salt", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
-    me = full.join(tiles, ["key", "salt", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    full = stage(members.join(still, ["key", "salt"]).withColumn("main", F.coalesce(F.col("comp") == F.col("most"), F.lit(False))).drop("most").join(sizes, "node").withColumn("band", band), "open-members")
+    tiles = full.groupBy("key", "salt", "band").agg(*[F.ceil(F.count_if(x) / TILE_ROWS).cast("int").alias(c) for c, x in (("few", ~F.col("main")), ("mains", F.col("main")))])
+    first, wide = F.when(F.col("main"), F.col("few")).otherwise(0), F.when(F.col("main"), F.col("mains")).otherwise(F.col("few"))
+    me = full.join(tiles, ["key", "salt", "band"]).withColumn("tile", (first + F.pmod(F.xxhash64("node"), wide)).cast("int")).drop("few", "mains")
+    others = F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("mains"))
+    j = F.explode(F.when(others > 0, F.sequence(F.lit(0), others - 1)))
     out = None
     for step in (0, 1):  # the same band, and each band with the next
-        other = tiles.select("key", "salt", (F.col("band") - step).alias("band"), F.col("tiles").alias("others"))
+        other = tiles.select("key", "salt", (F.col("band") - step).alias("band"), "few", "mains")
         up = me.join(other, ["key", "salt", "band"])
         mine = F.concat_ws(".", "band", "tile")
         if step == 0:
-            j = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
             part = up.select("*", j.alias("j")).select(
                 "key", "salt", "node", "comp", "n", "bits",
                 F.concat_ws(".", "band", F.least("tile", "j")).alias("t1"), F.concat_ws(".", "band", F.greatest("tile", "j")).alias("t2"),
@@ -374,11 +381,11 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, num: int
             )
             out = part
             continue
-        low = up.select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j")).select(
+        low = up.select("*", j.alias("j")).select(
             "key", "salt", "node", "comp", "n", "bits", mine.alias("t1"), F.concat_ws(".", F.col("band") + 1, "j").alias("t2"), F.lit(0).alias("side")
         )
-        back = tiles.select("key", "salt", (F.col("band") + 1).alias("band"), F.col("tiles").alias("others"))
-        high = me.join(back, ["key", "salt", "band"]).select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j")).select(
+        back = tiles.select("key", "salt", (F.col("band") + 1).alias("band"), "few", "mains")
+        high = me.join(back, ["key", "salt", "band"]).select("*", j.alias("j")).select(
             "key", "salt", "node", "comp", "n", "bits", F.concat_ws(".", F.col("band") - 1, "j").alias("t1"), mine.alias("t2"), F.lit(1).alias("side")
         )
         out = out.union(low).union(high)
@@ -425,7 +432,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     rest = stage(prune(_across(two.union(over).distinct().join(near, ["a", "b"], "left_anti"), labels), sizes, num, den), "jaccard-rest")
     links = stage(links.union(verify(rest, texts, width, num, den)), "jaccard-links")
     tried = stage(near.union(rest), "jaccard-tried")
-    groups = mined.where("kind = 1").select("key", "salt", "node").union(hot.select("key", F.lit(-1).alias("salt"), "node")).distinct()
+    groups = mined.where("kind = 1 and salt = 0").select("key", "salt", "node").union(mined.where("salt > 0").select("key", F.lit(-1).alias("salt"), "node")).distinct()
 
     most = TILE_PAIRS
     while True:

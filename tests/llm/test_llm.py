@@ -195,6 +195,17 @@ def test_jaccard_small_tiles(spark, monkeypatch):
     assert got == _components(rows)
 
 
+def test_jaccard_across_salts(spark, monkeypatch):
+    """Edits of one text that link with that text only, all their shared keys hot, in several salts and tiles."""
+    for name, value in (("SALT_ROWS", 4), ("TILE_ROWS", 3), ("TILE_PAIRS", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    w = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*w[: 5 + 2 * i], f"new{i}", *w[6 + 2 * i :]])) for i in range(24)] + [(99, " ".join(w))]
+    rows += [(200 + i, " ".join([*w[:20], *prose(40, 50 + i).split()])) for i in range(12)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows).coalesce(1)).collect()}
+    assert got == _components(rows)
+
+
 def test_jaccard_near_copy_of_a_hot_text(spark, monkeypatch):
     """One near copy beside many exact copies: each is alone in its salt of every key they share."""
     monkeypatch.setattr(ngram_join, "SALT_ROWS", 2)
