@@ -451,9 +451,12 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **args: int) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each class; columns unchanged."""
+    """``docs`` with one document (the smallest id) of each class; columns unchanged.
+
+    Rows whose id is null have no partner and are all kept.
+    """
     ids = jaccard_components(docs, id_col=id_col, text_col=text_col, **args).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(ids, docs[id_col] == F.col("__keep"), "left_semi")
+    return docs.join(ids, docs[id_col] == F.col("__keep"), "left_semi").union(docs.where(docs[id_col].isNull()))
 
 
 ORACLE_NOTE = "DuckDB's all-pairs form is too slow on whole tables; the query is tested against brute force."

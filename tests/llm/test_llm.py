@@ -222,6 +222,12 @@ def test_jaccard_odd_tables(spark):
     assert got == {(None, 2, None): 1, (3, 2, 3): 2, (7, 0, 7): 1, (8, 2, 3): 1}
 
 
+def test_keep_one_keeps_null_ids(spark):
+    rows = [(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (8, "A B c d e f")]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(frame(spark, rows)).collect())
+    assert got == {(None, "a b c d e f"): 1, (None, None): 1, (3, "a b c d e f"): 1}
+
+
 def test_exact(spark, docs, rows):
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in rows}
     groups = defaultdict(list)
