@@ -29,6 +29,8 @@ from .common import rows_of
 ROWS_PER_LANG, MAX_CHARS = 200, 20_000
 #: Languages that can be learned, hashed features, sweeps over the sample, words of a passage.
 MAX_LANGS, FEATURES, SWEEPS, PASSAGE = 64, 1 << 18, 20, 40
+#: Letters of one word of the chain; longer tokens become several words.
+WORD = 60
 #: Distinct tokens whose emissions a worker keeps.
 KNOWN = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -38,9 +40,17 @@ def clean(token: str) -> str:
     return "".join(_LETTERS.findall(token.lower()))
 
 
+def pieces(token: str) -> list[str]:
+    """The token, or if it is long its letters in words of at most ``WORD``."""
+    if len(token) <= WORD:
+        return [token]
+    w = clean(token)
+    return [w[i : i + WORD] for i in range(0, len(w), WORD)] or [token]
+
+
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(owner, hashed feature): affixes up to four letters, bi- and trigrams, the lexicon's word and language."""
-    shown = [f"^{w[:60]}$" for w in words]
+    shown = [f"^{w}$" for w in words]
     size = np.fromiter(map(len, shown), np.int64, len(shown))
     code = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32).astype(np.uint64)
     own = np.repeat(np.arange(len(shown)), size)
@@ -169,7 +179,7 @@ def fit(rows: list[tuple[str, str]], sweeps: int = SWEEPS, seed: int = 7) -> Fie
     types: dict[str, int] = {}
     passages = []
     for text, lang in rows:
-        ids = [types.setdefault(w, len(types)) for token in text.split() if (w := clean(token))]
+        ids = [types.setdefault(w, len(types)) for token in text.split() for part in pieces(token) if (w := clean(part))]
         passages += [(number[lang], ids[i : i + PASSAGE]) for i in range(0, len(ids), PASSAGE)]
     if not passages:
         return None
@@ -241,8 +251,8 @@ class Labeller:
         self.row.update({t: base + i for i, t in enumerate(tokens)})
 
     def words(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
-        """Per text its tokens, their posteriors and letters."""
-        split = [t.split() for t in texts]
+        """Per text its tokens (long ones in pieces), their posteriors and letters."""
+        split = [[p for token in t.split() for p in pieces(token)] for t in texts]
         if len(self.row) > KNOWN:
             self.reset()
         new = {tok for toks in split for tok in toks if tok not in self.row}

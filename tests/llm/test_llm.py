@@ -269,6 +269,16 @@ def test_language(spark):
     assert mixed[0] != mixed[-1]
 
 
+def test_language_of_long_tokens():
+    """A text without spaces is judged by all its letters, not by its first ones."""
+    rng = random.Random(5)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(" ".join(make(x, 6) for _ in range(40)), lang) for x, lang in (("abcd", "aa"), ("wxyz", "zz")) for _ in range(20)]
+    label = lang_id.Labeller(lang_id.fit(rows))
+    (lang, score), (other, _) = label.documents([make("abcd", 60) + make("wxyz", 600), make("wxyz", 60) + make("abcd", 600)])
+    assert (lang, other) == ("zz", "aa") and score < 0.97
+
+
 def test_quality(spark):
     rows = [(i, prose(40, i), "en", f"s{i % 3}", 200) for i in range(60)] + [(100 + i, "| ".join(prose(40, i).split()) + "%%% ***", "en", f"t{i % 3}", 200) for i in range(60)] + [(None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
