@@ -8,13 +8,15 @@ occurs in some item. From that, the windows that end at the word follow along su
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import quoted, rows_of
 
 #: A-Z become a-z; digits, a-z and every byte from 0x80 on belong to words; the rest separates.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -136,7 +138,8 @@ ITEM_BYTES = 4 << 20
 _BUILT: dict[str, SuffixAutomaton] = {}
 
 
-def _automaton(items: list[tuple[str, str]], window: int, key: str) -> SuffixAutomaton:
+def _automaton(held: tuple[str, int, list[tuple[str, str]]]) -> SuffixAutomaton:
+    key, window, items = held
     if key not in _BUILT:
         if len(_BUILT) >= 4:
             _BUILT.clear()
@@ -144,6 +147,18 @@ def _automaton(items: list[tuple[str, str]], window: int, key: str) -> SuffixAut
     return _BUILT[key]
 
 
+def _parts(items: DataFrame, window: int, item_id: str, item_text: str) -> Iterator[Broadcast]:
+    """The items, broadcast in parts of about ``ITEM_BYTES`` (an item is not split), each read by itself."""
+    sc = items.sparkSession.sparkContext
+    slim = items.select(quoted(item_id).cast("string").alias("i"), F.coalesce(quoted(item_text), F.lit("")).alias("t"))
+    size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(1, -(-size * 5 // (4 * ITEM_BYTES)))
+    for part in range(parts):
+        own = slim if parts == 1 else slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
+        got = [(r.i if r.i is not None else "null", r.t) for r in own.toLocalIterator()]
+        yield sc.broadcast((hashlib.md5(json.dumps([got, window]).encode()).hexdigest(), window, got))
+
+
 def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: (doc_id, text, n_words, spans array<struct<start, end>>, items array<string>).
 
@@ -152,12 +167,6 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
     text is broadcast in parts of at most ``ITEM_BYTES`` (its size is asked first), with one
     more narrow pass for each further part, so any number of items can be held against.
     """
-    import json
-
-    sc = docs.sparkSession.sparkContext
-    slim = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-size * 5 // (4 * ITEM_BYTES)))
     out = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
@@ -167,14 +176,10 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
     )
     schema = "doc_id long, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
-    for part in range(parts):
-        own = slim if parts == 1 else slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
-        got = [(r.i if r.i is not None else "null", r.t) for r in own.toLocalIterator()]
-        key = hashlib.md5(json.dumps([got, window]).encode()).hexdigest()
-        held = sc.broadcast(got)
+    for held in _parts(items, window, item_id, item_text):
 
-        def run(batches, held=held, key=key):
-            auto = _automaton(held.value, window, key)
+        def run(batches, held=held):
+            auto = _automaton(held.value)
             for batch in batches:
                 for rows in rows_of(batch):
                     for r in rows:
@@ -214,13 +219,24 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10, **names: str) ->
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", **names: str) -> DataFrame:
-    """``docs`` without the documents in which a window of an item occurs; columns unchanged.
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows in which a window of an item occurs; columns unchanged.
 
-    Rows with a null id stay (they cannot be named); rows that share an id go together.
+    Each row is judged by its own text in one narrow pass, so null and repeated ids are no matter.
     """
-    bad = find_spans(docs, items, window, id_col=id_col, **names).where((F.size("spans") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+    names, at = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    for held in _parts(items, window, item_id, item_text):
+
+        def run(batches, held=held):
+            auto = _automaton(held.value)
+            for batch in batches:
+                texts = batch.column(at)
+                clean = [not auto.scan(words(t.as_py()))[0] for t in texts]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*names)
 
 
 def cut_words(text: str, spans: list) -> str:

@@ -1,59 +1,51 @@
-"""N-gram Jaccard join: prefix keys, size-banded tiles with hashed bitmaps, exact verification.
-
-Two documents link when ``den * |A & B| >= num * |A | B|`` for their sets of word shingles. The
-class of every document (connected component of links) is found exactly, without all pairs:
-
-1. *Prefix keys.* With any global order of shingles, linked sets share one of the first
-   ``n - ceil(n * num / den) + 1`` shingles of each. The order is rarest first by a counting
-   sketch of fixed size; how good its counts are affects speed only. Equal sets are sent once a task.
-2. *Hubs.* The smallest document of a key is its hub. Each document is compared with the smallest
-   of its keys' hubs, and with its only partner in keys of two documents: candidates are at most
-   as many as prefix keys. Keys that the sketch finds hot are salted, and the salts' hubs compared;
-   the next step takes such a key's documents over all salts together.
-3. *Tiles.* Keys whose documents are then still in several components, one for each set of
-   documents, are cut into tiles by size band; pairs of tiles in the same or neighbouring bands
-   compare bitmaps, whose bit counts bound the overlap from above, and of the pairs across two
-   components that pass the likeliest few are verified. A tile that holds pairs back says so, and
-   further turns take more, until the components are one or no pair is left. Of a hot key's largest
-   component, which is settled within itself, tiles meet those of the other documents only.
+"""N-gram Jaccard join: shared-key filter, size-banded tiles with hashed bitmaps, exact verification.
+
+Two sets of word shingles link when ``den * |A & B| >= num * |A | B|``. The class (connected
+component of links) of every document is found exactly, without all pairs. Equal sets are one node.
+
+1. *Shared keys.* Shingles are ordered by hash. Linked sets have at most ``n * (1 - num / den)``
+   shingles of their own, so if each sends its first ``n * (1 - num / den) + k`` shingles, they have
+   ``k`` of those in common. Each task sends one packed record a key; a document of whose keys fewer
+   than ``k`` occur in another set can have no link and goes no further. No counts are kept that
+   grow with the corpus, nothing is broadcast.
+2. *Prefix keys.* Of what is left, keys are ordered rarest first, with exact counts. As linked
+   documents share ``k`` keys, they share one of the first ``m - k + 1`` of each. Of keys that have
+   the same documents one is enough.
+3. *Hubs.* A key's hub is its document with the fewest keys of its own (the likeliest original).
+   Each document is compared with the best hub of its keys, so a large class costs a pair a document.
+4. *Tiles.* Keys whose documents are then in several components are cut into tiles by size band;
+   tiles of the same or neighbouring bands compare bitmaps, whose bit counts bound the overlap from
+   above. Each component's likeliest pairs are verified first; a tile that holds pairs back says so,
+   and further turns take more, until no pair across two components is left untried. A key's largest
+   component, which is settled within itself, meets the tiles of the other documents only.
 
 Candidates are verified by intersecting sorted arrays of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, rows_of, stage
-
-#: Counters of the sketch, and how many of its largest are kept for the order (fixed sizes).
-BUCKETS, HEAVY = 1 << 22, 1 << 16
-#: Documents of one hot key that a task takes; members that a hub is compared with in one task.
-SALT_ROWS, HUB_ROWS = 20_000, 500
-#: Documents of one tile; pairs that a tile sends to verification for two components in the first turn.
-TILE_ROWS, TILE_PAIRS = 512, 32
-#: Bits of the largest bitmap; smaller sets have smaller ones.
-MAX_BITS = 1 << 15
+from .common import components, drop_staged, quoted, release, row_key, rows_of, stage, take_rows
+
+#: Keys that a task holds before it passes them on; blobs that it deals them to; keys of a blob's group.
+HELD, SLOTS, SLOT_KEYS = 1_500_000, 256, 2_000_000
+#: Members that a hub is compared with in one task; documents of one tile.
+HUB_ROWS, TILE_ROWS = 500, 512
+#: Pairs that a tile sends to verification for one component in the first turn; each turn takes MORE times as many.
+TILE_PAIRS, MORE = 4, 8
+#: Bits of the largest bitmap; smaller sets have at least eight a shingle.
+MAX_BITS = 1 << 17
+#: Bytes of text that are hashed at once, and the length from which a word is hashed by itself.
+PIECE, LONG_WORD = 1 << 20, 512
 _U = np.uint64
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASH = _WordHash()
+_M = _U(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,201 +54,278 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles."""
-    ws = text.encode().lower().split() if text else []
-    n = len(ws)
+class _Words:
+    """Hashes of the words of many texts at once, from differences of running sums over their bytes."""
+
+    def __init__(self) -> None:
+        code = np.arange(256)
+        self.space = np.isin(code, [32, 9, 10, 11, 12, 13])
+        lower = np.where((code >= 65) & (code <= 90), code + 32, code)
+        self.value = (_mix((np.arange(256, dtype=_U) + _U(1)) * _M) | _U(1))[lower]
+        m = int(_M)
+        self.up = np.cumprod(np.r_[_U(1), np.full(PIECE - 1, m, _U)])
+        self.down = np.cumprod(np.r_[_U(1), np.full(PIECE - 1, pow(m, -1, 1 << 64), _U)])
+
+    def piece(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word, number of words before each edge) of at most PIECE bytes; a word ends at an edge."""
+        if not len(raw):
+            return np.empty(0, _U), np.zeros(len(edges), np.int64)
+        gap = self.space[raw]
+        before, after = np.r_[True, gap[:-1]], np.r_[gap[1:], True]
+        inner = edges[(edges > 0) & (edges < len(raw))]
+        before[inner] = True
+        after[inner - 1] = True
+        start, end = np.flatnonzero(before & ~gap), np.flatnonzero(after & ~gap) + 1
+        total = np.zeros(len(raw) + 1, _U)
+        np.cumsum(self.value[raw] * self.up[: len(raw)], out=total[1:])
+        h = _mix((total[end] - total[start]) * self.down[start])
+        for i in np.flatnonzero(end - start >= LONG_WORD):
+            h[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes().lower())
+        return h, np.searchsorted(start, edges)
+
+    def long(self, raw: np.ndarray) -> np.ndarray:
+        """Word hashes of a text of any length, PIECE bytes at a time; a word of more is hashed whole."""
+        out, at = [], 0
+        while at < len(raw):
+            end = min(len(raw), at + PIECE)
+            if end < len(raw):
+                gaps = np.flatnonzero(self.space[raw[at:end]])
+                if len(gaps):
+                    end = at + int(gaps[-1]) + 1
+                else:  # one word fills the piece: find its end
+                    while end < len(raw) and not (gaps := np.flatnonzero(self.space[raw[end : end + PIECE]])).size:
+                        end = min(len(raw), end + PIECE)
+                    end = min(len(raw), end + int(gaps[0])) if end < len(raw) else end
+                    out.append(np.array([xxhash.xxh64_intdigest(raw[at:end].tobytes().lower())], _U))
+                    at = end
+                    continue
+            out.append(self.piece(raw[at:end], np.array([0]))[0])
+            at = end
+        return np.concatenate(out) if out else np.empty(0, _U)
+
+
+_WORDS: list[_Words] = []
+
+
+def _set_of(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text with these words."""
+    n = len(words)
     if not n:
         return np.empty(0, _U)
-    h = np.fromiter(map(_HASH.__getitem__, ws), _U, n)
     span = min(width, n)
     x = np.full(n - span + 1, span if n < width else 0, _U)
     for k in range(span):
-        x = x * _U(0x9E3779B97F4A7C15) + h[k : n - span + 1 + k]
-    return np.unique(_mix(x))
+        x = x * _M + words[k : n - span + 1 + k]
+    x = np.sort(_mix(x))
+    return x[np.r_[True, x[1:] != x[:-1]]]
+
+
+def sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct 64-bit shingle hashes; none for a text that is null or has no words."""
+    if not _WORDS:
+        _WORDS.append(_Words())
+    words = _WORDS[0]
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        if offsets[at + 1] - offsets[at] > PIECE:
+            yield _set_of(words.long(data[offsets[at] : offsets[at + 1]]), width)
+            at += 1
+            continue
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        h, cut = words.piece(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield _set_of(h[x:y], width)
+        at = to
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    return next(sets_of(pa.array([text], pa.string()), width))
 
 
 def bitmap(sig: np.ndarray) -> bytes:
-    bits = min(MAX_BITS, max(64, 2 << int(max(1, len(sig)) - 1).bit_length()))
+    bits = min(MAX_BITS, max(64, 8 << (len(sig) - 1).bit_length()))
     on = np.zeros(bits, np.uint8)
     on[(sig & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(on, bitorder="little").tobytes()
 
 
-def _sketch_pass(width: int):
-    arrow = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("bucket", pa.int32()), ("cnt", pa.int64())])
+def _digest(sig: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(sig.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _own(n: int, num: int, den: int) -> int:
+    """Shingles of a set of n that a linked set may lack."""
+    return (den - num) * n // den
+
+
+def _common(n: int, num: int, den: int) -> int:
+    """Keys that sets of n shingles or more have in common when linked; n + 1 give no fewer."""
+    return max(1, min(_own(n, num, den), n - _own(n, num, den)))
+
+
+def _needed(n: Column, num: int, den: int) -> Column:
+    """:func:`_common` of the smallest set that may link with one of n; one less for larger ones,
+    as keys are cut to 48 bits and two of one document may fall together."""
+    low = F.expr(f"({num}L * n + {den - 1}) div {den}")
+    own = F.floor(low * (den - num) / den)
+    k = F.greatest(F.lit(1), F.least(own, low - own))
+    return F.when(k >= 8, k - 1).otherwise(k).cast("int")
+
+
+def _scan(width: int, num: int, den: int):
+    """Kind 0: a row a document. Kind 1: (h1, key), the key being in several sets of the task.
+    Kind 2: packed (key, h1), one for each key of the task, by slot."""
+    kinds = [("kind", pa.int8()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("h1", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("slot", pa.int32()), ("blob", pa.binary())]
+    arrow = pa.schema(kinds)
+
+    def made(**cols) -> pa.RecordBatch:
+        n = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in kinds], schema=arrow)
+
+    def flush(keys: list, nodes: list) -> Iterator[pa.RecordBatch]:
+        if not keys:
+            return
+        k = np.concatenate(keys)
+        node = np.repeat(np.array(nodes, np.int64), [len(x) for x in keys])
+        order = np.argsort(k, kind="stable")
+        k, node = k[order], node[order]
+        new = np.r_[True, k[1:] != k[:-1]]
+        several = ~new | np.r_[~new[1:], False]
+        for at in range(0, int(several.sum()), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            x = k[several][cut].view(np.int64)
+            yield made(kind=np.ones(len(x), np.int8), h1=node[several][cut], key=x)
+        k, node = k[new], node[new]
+        slot = (k % _U(SLOTS)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        k, node, slot = k[order], node[order], slot[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]), len(k)]
+        for i in range(0, len(cuts) - 1, 16):
+            part = list(zip(cuts[i : i + 16], cuts[i + 1 : i + 17], strict=False))
+            yield made(kind=np.full(len(part), 2, np.int8), slot=np.array([slot[x] for x, _ in part], np.int32), n=np.array([y - x for x, y in part], np.int64), blob=[pack(k[x:y], node[x:y]) for x, y in part])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, seen, held = [], [], set(), 0
+        for batch in batches:
+            ids, rks = batch.column(0), batch.column(1)
+            h1, n = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for i, (sig, null) in enumerate(zip(sets_of(batch.column(2), width), ids.is_null().to_pylist(), strict=True)):
+                n[i] = len(sig)
+                if not len(sig):
+                    continue
+                h1[i] = d = _digest(sig)[0]
+                if null or d in seen:  # an equal set of this task has told all
+                    continue
+                own = sig[: _own(len(sig), num, den) + _common(len(sig), num, den)] >> _U(16)
+                own = own[np.r_[True, own[1:] != own[:-1]]]
+                seen.add(d)
+                keys.append(own)
+                nodes.append(d)
+                held += len(own)
+                if held >= HELD or len(nodes) >= HELD // 8:
+                    yield from flush(keys, nodes)
+                    keys, nodes, seen, held = [], [], set(), 0
+            yield made(kind=np.zeros(len(ids), np.int8), doc_id=ids, rk=rks, h1=h1, n=n)
+        yield from flush(keys, nodes)
+
+    return run, "kind byte, doc_id long, rk long, h1 long, key long, n long, slot int, blob binary"
+
+
+def pack(k: np.ndarray, node: np.ndarray) -> bytes:
+    """Keys of 48 bits and their nodes: the distinct nodes, then each key and the place of its node."""
+    names, place = np.unique(node, return_inverse=True)
+    wide = place.astype(np.uint32 if len(names) > 65_535 else np.uint16)
+    low = np.ascontiguousarray(k).view(np.uint8).reshape(-1, 8)[:, :6]
+    return len(names).to_bytes(4, "little") + names.tobytes() + low.tobytes() + wide.tobytes()
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(blob[:4], "little")
+    names = np.frombuffer(blob, np.int64, size, 4)
+    kind = np.dtype(np.uint32 if size > 65_535 else np.uint16)
+    n = (len(blob) - 4 - 8 * size) // (6 + kind.itemsize)
+    k = np.zeros((n, 8), np.uint8)
+    k[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 4 + 8 * size).reshape(n, 6)
+    return k.reshape(-1).view(_U), names[np.frombuffer(blob[4 + 8 * size + 6 * n :], kind)]
+
+
+def _split(parts: int):
+    """Packed rows (slot, blob) cut further by key, for corpora of many keys."""
+    arrow = pa.schema([("slot", pa.int32()), ("sub", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for rows in rows_of(batch):
+            for rows in rows_of(batch, 16):
                 out = []
                 for r in rows:
-                    sig = shingles(r["text"], width)
-                    np.add.at(counts, (sig >> _U(42)).astype(np.int64), 1)
-                    d = hashlib.md5(sig.tobytes()).digest()
-                    out.append({"doc_id": r["doc_id"], "h1": int.from_bytes(d[:8], "little", signed=True), "h2": int.from_bytes(d[8:], "little", signed=True), "n": len(sig), "bits": bitmap(sig), "bucket": None, "cnt": None})
+                    k, node = unpack(r["blob"])
+                    sub = (k // _U(SLOTS) % _U(parts)).astype(np.int64)
+                    for s in np.unique(sub):
+                        out.append({"slot": r["slot"], "sub": int(s), "blob": pack(k[sub == s], node[sub == s])})
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
-        floor = max(8, 4 * int(counts.mean()))
-        big = np.flatnonzero(counts >= floor)
-        for at in range(0, len(big), 8192):
-            b = big[at : at + 8192]
-            none = pa.nulls(len(b), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(b), pa.binary()), pa.array(b, pa.int32()), pa.array(counts[b], pa.int64())], schema=arrow)
-
-    return run, "doc_id long, h1 long, h2 long, n long, bits binary, bucket int, cnt long"
 
+    return run
 
-def _key_pass(width: int, num: int, den: int, heavy):
-    arrow = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("node", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, cnt = heavy.value
-        freq = np.zeros(BUCKETS, np.uint32)
-        freq[buckets] = np.minimum(cnt, (1 << 32) - 1)
-        rank = np.zeros(BUCKETS, np.uint8)
-        rank[buckets] = np.minimum(255, 4 * np.log2(np.maximum(cnt, 1))).astype(np.uint8)
-        seen: set[bytes] = set()
-        for batch in batches:
-            for rows in rows_of(batch):
-                keys, salts, nodes = [], [], []
-                for r in rows:
-                    sig = shingles(r["text"], width)
-                    n = len(sig)
-                    if not n or r["doc_id"] is None:
-                        continue
-                    d = hashlib.md5(sig.tobytes()).digest()
-                    if d in seen:  # its component follows from the equal set
-                        continue
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(d)
-                    at = (sig >> _U(42)).astype(np.int64)
-                    first = np.argsort(rank[at], kind="stable")[: n + (-n * num // den) + 1]
-                    top = freq[at[first]]
-                    parts = -(-top.astype(np.int64) // SALT_ROWS)
-                    salts.append((xxhash.xxh32_intdigest(d) % np.maximum(parts, 1)).astype(np.int32) + (parts > 1))
-                    keys.append(sig[first].view(np.int64))
-                    nodes.append(np.full(len(first), r["doc_id"], np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, salts, nodes)], schema=arrow)
-
-    return run, "key long, salt int, node long"
-
-
-def _mine_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, salt, node): a row for each node after a key's first (its hub).
-
-    kind 0: (hub, node), the key has two documents; kind 1: the same, it has more (the hub's own
-    row too); kind 2: the hub of one salt of a hot key.
-    """
-    arrow = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("salt", pa.int32()), ("hub", pa.int64()), ("node", pa.int64())])
-    tail = None
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed records sorted by (slot, sub): (node, key) for keys that several nodes have."""
+
+    def told(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(blobs) < 2:
+            return
+        ks, ds = zip(*map(unpack, blobs), strict=True)
+        k, d = np.concatenate(ks), np.concatenate(ds)
+        order = np.argsort(k, kind="stable")
+        k, d = k[order], d[order]
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        runs = np.diff(np.r_[start, len(k)])
+        several = np.repeat(np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start), runs)
+        k, d = k[several].view(np.int64), d[several]
+        for at in range(0, len(k), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"h1": d[at : at + (1 << 16)], "key": k[at : at + (1 << 16)]})
+
+    at, held = None, []
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        if tail is not None:
-            cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
-        key, salt, node = cols
-        if not len(key):
-            continue
-        # The last run may go on in the next batch; of a long one its first row and the newest are enough to go on.
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-        cut = starts[-1]
-        if len(starts) == 1 and len(key) > 200_000:
-            # One run fills the buffer: tell what is known, keep the hub (with a second row to show that it has more).
-            yield from _told(key, salt, node, arrow)
-            tail = [x[:1] for x in cols]
-            tail = [np.r_[x, x] for x in tail]
-            continue
-        yield from _told(key[:cut], salt[:cut], node[:cut], arrow)
-        tail = [x[cut:] for x in cols]
-    if tail is not None:
-        yield from _told(*tail, arrow)
+        slots, subs, blobs = (batch.column(i) for i in range(3))
+        for s, u, b in zip(slots.to_pylist(), subs.to_pylist(), blobs, strict=True):
+            if (s, u) != at:
+                yield from told(held)
+                at, held = (s, u), []
+            held.append(b.as_py())
+    yield from told(held)
 
 
-def _told(key, salt, node, arrow) -> Iterator[pa.RecordBatch]:
-    if not len(key):
-        return
-    new = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
-    start = np.flatnonzero(new)
-    length = np.diff(np.r_[start, len(key)])
-    hub = np.repeat(node[start], length)
-    many = np.repeat(length > 2, length)
-    is_hub = np.repeat(node[start], length) == node
-    kinds = [np.where(many, 1, 0).astype(np.int8)]
-    pick = (~is_hub) | (many & new)
-    out = [[kinds[0][pick], key[pick], salt[pick], hub[pick], node[pick]]]
-    hot = new & (salt > 0)
-    if hot.any():
-        out.append([np.full(hot.sum(), 2, np.int8), key[hot], salt[hot], node[hot], node[hot]])
-    for x in out:
-        if len(x[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], schema=arrow)
-
-
-def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose documents' shingle sets reach the threshold.
+def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose nodes' shingle sets reach the threshold; ``texts`` is (node, text).
 
     Each a's text is sent to as many tasks as it has blocks of ``HUB_ROWS`` partners, and there
-    meets one partner after another. Documents that share an id count as one vertex: any of
-    their texts may make the link.
+    meets one partner after another.
     """
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts"))
-    asks = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"), F.lit(1).alias("other"))
-    own = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"), F.lit(0).alias("other"))
-    met = asks.union(own).join(docs, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "other")
+    asks = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("node"), F.lit(1).alias("other"))
+    own = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("other"))
+    met = asks.union(own).join(texts, "node").repartition("a", "part").sortWithinPartitions("a", "part", "other")
 
     def run(batches):
-        at, hubs = None, []
+        at, hub = None, None
         for batch in batches:
-            for rows in rows_of(batch):
-                a, b = [], []
-                for r in rows:
-                    if (r["a"], r["part"]) != at:
-                        at, hubs = (r["a"], r["part"]), []
-                    sig = shingles(r["text"], width)
-                    if not r["other"]:
-                        hubs.append(sig)
-                        continue
-                    for hub in hubs:
-                        if linked(hub, sig, num, den):
-                            a.append(r["a"])
-                            b.append(r["doc_id"])
-                            break
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return met.select("a", "part", "other", "doc_id", "text").mapInArrow(run, "a long, b long")
-
-
-def prune(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps allow the threshold."""
-    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    met = pairs.join(one, "a").join(two, "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-
-    def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for rows in rows_of(batch, 2048):
-                for r in rows:
-                    size = min(len(r["xa"]), len(r["xb"]))
-                    x, y = _fold(r["xa"], size), _fold(r["xb"], size)
-                    only_x = int.from_bytes((x & ~y).tobytes()).bit_count()
-                    only_y = int.from_bytes((y & ~x).tobytes()).bit_count()
-                    both = min(r["na"] - only_x, r["nb"] - only_y)
-                    if den * both >= num * (r["na"] + r["nb"] - both):
-                        a.append(r["a"])
-                        b.append(r["b"])
+            out = []
+            heads = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            for (a, part, other, node), sig in zip(heads, sets_of(batch.column(4), width), strict=True):
+                if not other:
+                    at, hub = (a, part), sig
+                elif at == (a, part) and linked(hub, sig, num, den):
+                    out.append((a, node))
+            a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long").distinct()
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return met.select("a", "part", "other", "node", "text").mapInArrow(run, "a long, b long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -271,126 +340,185 @@ def _fold(raw: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(x.reshape(-1, size), axis=0)
 
 
+def _best(comp: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Which edges are among the ``most`` of highest score of their component."""
+    order = np.lexsort((-score, comp))
+    c = comp[order]
+    start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    place = np.arange(len(c)) - np.repeat(start, np.diff(np.r_[start, len(c)]))
+    out = np.empty(len(c), bool)
+    out[order] = place < most
+    return out
+
+
 def _compare_tiles(num: int, den: int, most: int):
-    """Rows sorted by tile pair: the pairs across components that sizes and bitmaps allow."""
+    """Rows sorted by tile pair: the likeliest pairs across components that sizes and bitmaps allow."""
 
-    def told(rows: list[tuple]) -> tuple[list, list]:
-        sides = [[r for r in rows if r[0] in (s, 2)] for s in (0, 1)]
-        same = all(r[0] == 2 for r in rows)
-        size = min(len(r[4]) for r in rows)
-        left, right = sides
+    def told(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, bool]:
+        none = np.empty(0, np.int64)
+        left, right = ([r for r in rows if r[0] in (s, 2)] for s in (0, 1))
         if not left or not right:
-            return [], []
-        maps = [[_fold(r[4], size) for r in side] for side in sides]
-        ns = [np.array([r[3] for r in side], np.int64) for side in sides]
-        comps = [np.array([r[2] for r in side], np.int64) for side in sides]
-        best: dict[tuple[int, int], list] = {}
-        small = len(left) * len(right) <= 100  # whole numbers as bitmaps, else arrays
-        if small:
-            ints = [[int.from_bytes(m.tobytes()) for m in side] for side in maps]
-        else:
-            maps = [np.stack(m) for m in maps]
-        for i, r in enumerate(left):
-            if small:
-                passed = []
-                for j in range(i + 1 if same else 0, len(right)):
-                    o = right[j]
-                    if r[2] != o[2] and den * min(r[3], o[3]) >= num * max(r[3], o[3]):
-                        x, y = ints[0][i], ints[1][j]
-                        passed.append((j, min(r[3] - (x & ~y).bit_count(), o[3] - (y & ~x).bit_count())))
-            else:
-                ok = comps[1] != comps[0][i]
-                ok &= den * np.minimum(ns[1], ns[0][i]) >= num * np.maximum(ns[1], ns[0][i])
-                if same:
-                    ok[: i + 1] = False
-                js = np.flatnonzero(ok)
-                if not len(js):
-                    continue
-                here, there = maps[0][i], maps[1][js]
-                only_i = np.bitwise_count(here & ~there).sum(axis=1, dtype=np.int64)
-                only_j = np.bitwise_count(there & ~here).sum(axis=1, dtype=np.int64)
-                passed = zip(js.tolist(), np.minimum(ns[0][i] - only_i, ns[1][js] - only_j).tolist(), strict=True)
-            for j, both in passed:
-                o = right[j]
-                if den * both >= num * (r[3] + o[3] - both):
-                    item = (both / (r[3] + o[3] - both), min(r[1], o[1]), max(r[1], o[1]))
-                    heap = best.setdefault((min(r[2], o[2]), max(r[2], o[2])), [])
-                    if len(heap) <= most:
-                        heapq.heappush(heap, item)
-                    else:
-                        heapq.heappushpop(heap, item)
-        a, b = [], []
-        for heap in best.values():
-            if len(heap) > most:  # a null pair says that some are left for the next turn
-                a.append(None)
-                b.append(None)
-            for _, x, y in sorted(heap, reverse=True)[:most]:
-                a.append(x)
-                b.append(y)
-        return a, b
+            return none, none, False
+        same = rows[0][0] == 2
+        size = min(len(r[4]) for r in rows)
+        maps = [np.stack([_fold(r[4], size) for r in side]) for side in (left, right)]
+        maps = [m.view(_U) for m in maps]
+        node, comp, n = ([np.array([r[c] for r in side], np.int64) for side in (left, right)] for c in (1, 2, 3))
+        found_i, found_j, scores = [], [], []
+        for i in range(len(left)):
+            ok = comp[1] != comp[0][i]
+            ok &= den * np.minimum(n[1], n[0][i]) >= num * np.maximum(n[1], n[0][i])
+            if same:
+                ok[: i + 1] = False
+            js = np.flatnonzero(ok)
+            if not len(js):
+                continue
+            here, there = maps[0][i], maps[1][js]
+            only_i = np.bitwise_count(here & ~there).sum(axis=1, dtype=np.int64)
+            only_j = np.bitwise_count(there & ~here).sum(axis=1, dtype=np.int64)
+            both = np.minimum(n[0][i] - only_i, n[1][js] - only_j)
+            union = n[0][i] + n[1][js] - both
+            pick = den * both >= num * union
+            if pick.any():
+                found_i.append(np.full(pick.sum(), i))
+                found_j.append(js[pick])
+                scores.append((both / union)[pick])
+        if not found_i:
+            return none, none, False
+        i, j, score = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(scores)
+        pick = _best(comp[0][i], score, most) | _best(comp[1][j], score, most)
+        a, b = node[0][i[pick]], node[1][j[pick]]
+        return np.minimum(a, b), np.maximum(a, b), not pick.all()
 
     def run(batches):
         at, held = None, []
+        kept, left_over = [], False
         for batch in batches:
-            a, b = [], []
-            for rows in rows_of(batch, 1024):
+            for rows in rows_of(batch, 256):
                 for r in rows:
-                    now = (r["key"], r["salt"], r["t1"], r["t2"])
+                    now = (r["key"], r["t1"], r["t2"])
                     if now != at:
-                        if len(held) > 1:
-                            for out, more in zip((a, b), told(held), strict=True):
-                                out += more
+                        a, b, more = told(held) if len(held) > 1 else ([], [], False)
+                        left_over |= more
+                        if len(a):
+                            kept.append((a, b))
                         at, held = now, []
                     held.append((r["side"], r["node"], r["comp"], r["n"], r["bits"]))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        if len(held) > 1:
-            a, b = told(held)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if kept:
+                yield pa.RecordBatch.from_pydict({"a": np.concatenate([x for x, _ in kept]), "b": np.concatenate([x for _, x in kept])})
+                kept = []
+        a, b, more = told(held) if len(held) > 1 else ([], [], False)
+        end = [None] if left_over or more else []  # a null pair says that some are left for the next turn
+        yield pa.RecordBatch.from_pydict({"a": pa.array([*map(int, a), *end], pa.int64()), "b": pa.array([*map(int, b), *end], pa.int64())})
 
     return run
 
 
-def _open_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """Candidate pairs across components, from keys whose documents are in more than one."""
-    lab = labels.select(F.col("node"), F.col("component").alias("known"))
-    members = groups.join(lab, "node", "left").select("key", "salt", "node", F.coalesce("known", "node").alias("comp"))
-    # Keys of one passage have the same documents: of those one is enough.
-    same = [F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")]
-    still = members.groupBy("key", "salt").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo <> hi")
-    still = still.groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "salt")).alias("k")).select("k.key", "k.salt")
-    # A hot key's largest component: its tiles come after the others and do not meet each other.
-    main = members.where("salt = -1").groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
-    still = still.join(main.withColumn("salt", F.lit(-1)), ["key", "salt"], "left")
+def _open_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, num: int, den: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs across components, from keys whose documents are in more than one; the frame to drop after."""
+    lab = labels.select("node", F.col("component").alias("known"))
+    members = groups.join(lab, "node", "left").select("key", "node", F.coalesce("known", "node").alias("comp"))
+    sides = members.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    full = stage(members.join(still, ["key", "salt"]).withColumn("main", F.coalesce(F.col("comp") == F.col("most"), F.lit(False))).drop("most").join(sizes, "node").withColumn("band", band), "open-members")
-    tiles = full.groupBy("key", "salt", "band").agg(*[F.ceil(F.count_if(x) / TILE_ROWS).cast("int").alias(c) for c, x in (("few", ~F.col("main")), ("mains", F.col("main")))])
+    # A key's largest component: its tiles come after the others' and do not meet each other.
+    full = stage(members.join(sides, "key").withColumn("main", F.col("comp") == F.col("most")).drop("most").join(sizes, "node").withColumn("band", band), "jaccard-open")
+    tiles = full.groupBy("key", "band").agg(*[F.ceil(F.count_if(x) / TILE_ROWS).cast("int").alias(c) for c, x in (("few", ~F.col("main")), ("mains", F.col("main")))])
     first, wide = F.when(F.col("main"), F.col("few")).otherwise(0), F.when(F.col("main"), F.col("mains")).otherwise(F.col("few"))
-    me = full.join(tiles, ["key", "salt", "band"]).withColumn("tile", (first + F.pmod(F.xxhash64("node"), wide)).cast("int")).drop("few", "mains")
+    me = full.join(tiles, ["key", "band"]).withColumn("tile", (first + F.pmod(F.xxhash64("node"), wide)).cast("int")).drop("few", "mains")
     others = F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("mains"))
     j = F.explode(F.when(others > 0, F.sequence(F.lit(0), others - 1)))
-    out = None
-    for step in (0, 1):  # the same band, and each band with the next
-        other = tiles.select("key", "salt", (F.col("band") - step).alias("band"), "few", "mains")
-        up = me.join(other, ["key", "salt", "band"])
-        mine = F.concat_ws(".", "band", "tile")
-        if step == 0:
-            part = up.select("*", j.alias("j")).select(
-                "key", "salt", "node", "comp", "n", "bits",
-                F.concat_ws(".", "band", F.least("tile", "j")).alias("t1"), F.concat_ws(".", "band", F.greatest("tile", "j")).alias("t2"),
-                F.when(F.col("tile") == F.col("j"), 2).when(F.col("tile") < F.col("j"), 0).otherwise(1).alias("side"),
-            )
-            out = part
-            continue
-        low = up.select("*", j.alias("j")).select(
-            "key", "salt", "node", "comp", "n", "bits", mine.alias("t1"), F.concat_ws(".", F.col("band") + 1, "j").alias("t2"), F.lit(0).alias("side")
-        )
-        back = tiles.select("key", "salt", (F.col("band") + 1).alias("band"), "few", "mains")
-        high = me.join(back, ["key", "salt", "band"]).select("*", j.alias("j")).select(
-            "key", "salt", "node", "comp", "n", "bits", F.concat_ws(".", F.col("band") - 1, "j").alias("t1"), mine.alias("t2"), F.lit(1).alias("side")
-        )
-        out = out.union(low).union(high)
-    dealt = out.repartition("key", "salt", "t1", "t2").sortWithinPartitions("key", "salt", "t1", "t2")
-    return dealt.mapInArrow(_compare_tiles(num, den, most), "a long, b long").distinct()
+    keep = ["key", "node", "comp", "n", "bits"]
+    mine = F.concat_ws(".", "band", "tile")
+
+    def meets(step: int) -> DataFrame:
+        """Each document beside every tile of its key in the band ``step`` above its own that it is to meet."""
+        other = tiles.select("key", (F.col("band") - step).alias("band"), "few", "mains")
+        return me.join(other, ["key", "band"]).select("*", j.alias("j"))
+
+    in_band = meets(0).select(
+        *keep,
+        F.concat_ws(".", "band", F.least("tile", "j")).alias("t1"),
+        F.concat_ws(".", "band", F.greatest("tile", "j")).alias("t2"),
+        F.when(F.col("tile") == F.col("j"), 2).when(F.col("tile") < F.col("j"), 0).otherwise(1).alias("side"),
+    )
+    low = meets(1).select(*keep, mine.alias("t1"), F.concat_ws(".", F.col("band") + 1, "j").alias("t2"), F.lit(0).alias("side"))
+    high = meets(-1).select(*keep, F.concat_ws(".", F.col("band") - 1, "j").alias("t1"), mine.alias("t2"), F.lit(1).alias("side"))
+    dealt = in_band.union(low).union(high).repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    return dealt.mapInArrow(_compare_tiles(num, den, most), "a long, b long").distinct(), full
+
+
+def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rk, h1, n) of every row, and (node, component) of the sets that have links."""
+    spark = docs.sparkSession
+    slim = docs.select(quoted(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), quoted(text_col).cast("string").alias("text"))
+    run, schema = _scan(width, num, den)
+    scanned = stage(slim.mapInArrow(run, schema), "jaccard-scan")
+    sets = stage(scanned.where("kind = 0").select("doc_id", "rk", "h1", "n"), "jaccard-sets")
+    nodes = sets.where("n > 0 and doc_id is not null").groupBy(F.col("h1").alias("node")).agg(F.min("rk").alias("rk"), F.min("n").alias("n"))
+    packed = scanned.where("kind = 2")
+    parts = 1 + (packed.agg(F.sum("n")).first()[0] or 0) // (SLOTS * SLOT_KEYS)
+    blobs = packed.select("slot", F.lit(0).alias("sub"), "blob") if parts == 1 else packed.select("slot", "blob").mapInArrow(_split(parts), "slot int, sub int, blob binary")
+    met = blobs.repartition("slot", "sub").sortWithinPartitions("slot", "sub").mapInArrow(_meet, "h1 long, key long")
+    shared = met.union(scanned.where("kind = 1").select("h1", "key"))
+
+    # Nodes of whose keys enough occur elsewhere; then again, elsewhere among those.
+    need = _needed(F.col("n"), num, den)
+    some = shared.groupBy(F.col("h1").alias("node")).agg(F.collect_set("key").alias("keys")).join(nodes, "node").where(F.size("keys") >= need)
+    some = stage(some, "jaccard-some")
+    release(spark)
+    flat = some.select("node", F.explode("keys").alias("key"))
+    often = flat.groupBy("key").agg(F.count("*").alias("freq")).where("freq > 1")
+    ranked = flat.join(often, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("freq", "key"))).alias("keys"))
+    ranked = ranked.join(some.select("node", "rk", "n"), "node").where(F.size("keys") >= need)
+    # The share of keys that no other node has: least for the text that others were made from.
+    sent = F.floor(F.col("n") * (den - num) / den) + need
+    alive = stage(ranked.select("node", "rk", "n", (100 - F.floor(100 * F.size("keys") / sent)).cast("int").alias("rank"), F.slice("keys", 1, F.size("keys") - need + 1).alias("keys")), "jaccard-alive")
+    release(spark)
+    member = alive.select("node", "n", "rank", F.explode("keys.key").alias("key"))
+    # Keys of one passage have the same documents: of those one is enough.
+    same = [F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")]
+    one = member.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("hub"), *same).where("m > 1").groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "hub")).alias("k")).select("k.key", "k.hub")
+    groups = stage(member.join(one, "key"), "jaccard-groups")
+    texts = stage(slim.join(alive.select("rk", "node"), "rk").select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
+    drop_staged(scanned, some)
+    release(spark)
+
+    near = groups.where(f"hub.node <> node and {den} * least(n, hub.n) >= {num} * greatest(n, hub.n)").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    tried = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("hub")), "jaccard-near")
+    asked = tried.select(F.col("hub").alias("a"), F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    links = stage(verify(asked, texts, width, num, den), "jaccard-links")
+    tried = [tried]
+
+    def sized(batches):
+        for batch in batches:
+            sigs = list(sets_of(batch.column(1), width))
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "n": pa.array([len(s) for s in sigs], pa.int64()), "bits": pa.array([bitmap(s) for s in sigs], pa.binary())})
+
+    sizes = stage(texts.mapInArrow(sized, "node long, n long, bits binary"), "jaccard-sizes")
+    members = groups.select("key", "node")
+    found = [links]
+    labels = components(links, "jaccard")
+    most = TILE_PAIRS
+    while True:
+        pairs, full = _open_pairs(members, labels, sizes, num, den, most)
+        for old in tried:
+            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = stage(pairs, "jaccard-fresh")
+        drop_staged(full)
+        release(spark)
+        found.append(stage(verify(fresh.where("a is not null"), texts, width, num, den), "jaccard-links"))
+        links = found[0]
+        for x in found[1:]:
+            links = links.union(x)
+        drop_staged(labels)
+        labels = components(links, "jaccard")
+        tried.append(fresh)
+        if fresh.where("a is null").isEmpty():  # no tile held any pair back
+            break
+        most *= MORE
+    drop_staged(alive, groups, texts, sizes, *found, *tried)
+    release(spark)
+    return sets, labels
 
 
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,65 +526,34 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a text of fewer than
     ``width`` words is one shingle. Null or wordless texts have no shingles and link with
-    nothing. Rows that share an id are one vertex. A null id can be no vertex: such a row has a
-    null component. An empty table gives an empty result; other columns are ignored.
+    nothing. Rows are linked by their texts, also where they share an id; the component is the
+    smallest id of the class. A row whose id is null links with nothing and has a null component.
+    An empty table gives an empty result; other columns are ignored. Texts may be of any length.
+    Shingles, and equal sets of them, are told apart by 64-bit hashes.
     """
-    sc = docs.sparkSession.sparkContext
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    run, schema = _sketch_pass(width)
-    scanned = stage(slim.mapInArrow(run, schema), "jaccard-sets")
-    sets = scanned.where("bucket is null").drop("bucket", "cnt")
-    top = scanned.where("bucket is not null").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "bucket").limit(HEAVY).collect()
-    heavy = sc.broadcast((np.array([r.bucket for r in top], np.int64), np.array([r.cnt for r in top], np.int64)))
-
-    run, schema = _key_pass(width, num, den, heavy)
-    keyed = slim.mapInArrow(run, schema).repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-    mined = stage(keyed.mapInArrow(_mine_hubs, "kind byte, key long, salt int, hub long, node long"), "jaccard-hubs")
-    release(docs.sparkSession)
-    hot = mined.where("kind = 2").select("key", "node")
-    over = hot.groupBy("key").agg(F.min("node").alias("a")).join(hot, "key").select("a", F.col("node").alias("b")).where("a <> b")
-    near = mined.where("kind < 2 and hub <> node").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
-    two = mined.where("kind = 0").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    alive = sets.where("n > 0 and doc_id is not null")
-    sizes = alive.select(F.col("doc_id").alias("node"), "n", "bits")
-    firsts = alive.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("h1", "h2", "a")
-    equal = stage(alive.join(firsts, ["h1", "h2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "jaccard-equal")
-
-    # Of each document's hubs the smallest first; then partners still in another component.
-    near = stage(prune(near, sizes, num, den), "jaccard-near")
-    ends = mined.select(F.col("node").alias("doc_id")).union(mined.select("hub")).distinct()
-    texts = stage(slim.join(ends, "doc_id", "left_semi"), "jaccard-texts")
-    links = stage(verify(near, texts, width, num, den), "jaccard-links")
-    release(docs.sparkSession)
-    labels = components(links.union(equal), "jaccard")
-    rest = stage(prune(_across(two.union(over).distinct().join(near, ["a", "b"], "left_anti"), labels), sizes, num, den), "jaccard-rest")
-    links = stage(links.union(verify(rest, texts, width, num, den)), "jaccard-links")
-    tried = stage(near.union(rest), "jaccard-tried")
-    groups = mined.where("kind = 1 and salt = 0").select("key", "salt", "node").union(mined.where("salt > 0").select("key", F.lit(-1).alias("salt"), "node")).distinct()
-
-    most = TILE_PAIRS
-    while True:
-        fresh = stage(_open_pairs(groups, labels, sizes, num, den, most).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-        release(docs.sparkSession)
-        found = fresh.where("a is not null")
-        links = stage(links.union(verify(found, texts, width, num, den)), "jaccard-links")
-        labels = components(links.union(equal), "jaccard")
-        if fresh.where("a is null").isEmpty():  # no tile held any pair back
-            break
-        tried = stage(tried.union(found), "jaccard-tried")
-        release(docs.sparkSession)
-        most *= 64
-    out = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    sets, labels = _classes(docs, num, den, width, id_col, text_col)
+    least = sets.where("n > 0 and doc_id is not null").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("least"))
+    named = least.join(labels, "node").groupBy("component").agg(F.min("least").alias("class"))
+    classes = least.join(labels.join(named, "component"), "node", "left").select(F.col("node").alias("h1"), F.coalesce("class", "least").alias("class"))
+    out = sets.join(classes, "h1", "left")
+    own = (F.col("n") == 0) | F.col("doc_id").isNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("class")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **args: int) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each class; columns unchanged.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
+    """``docs`` with one row of each class of linked texts; columns unchanged.
 
-    Rows whose id is null have no partner and are all kept.
+    The row with the smallest id stays; of several with that id (one text or linked texts) one.
+    Rows that share an id but are unlike all stay. Rows whose id is null, or whose text is null
+    or has no words, have no partner and are all kept.
     """
-    ids = jaccard_components(docs, id_col=id_col, text_col=text_col, **args).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(ids, docs[id_col] == F.col("__keep"), "left_semi").union(docs.where(docs[id_col].isNull()))
+    sets, labels = _classes(docs, num, den, width, id_col, text_col)
+    rows = sets.where("n > 0 and doc_id is not null").groupBy("h1", "doc_id", "rk").agg(F.count("*").alias("cnt"))
+    classes = rows.join(labels.withColumnRenamed("node", "h1"), "h1", "left").groupBy(F.coalesce("component", "h1").alias("class")).agg(F.min(F.struct("doc_id", "rk", "cnt")).alias("kept"))
+    keep = stage(classes.select("kept.rk", "kept.cnt"), "jaccard-keep")
+    drop_staged(sets, labels)
+    alone = quoted(id_col).isNull() | ~F.coalesce(quoted(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return take_rows(docs, keep, id_col, text_col, alone)
 
 
 ORACLE_NOTE = "DuckDB's all-pairs form is too slow on whole tables; the query is tested against brute force."

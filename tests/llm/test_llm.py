@@ -195,9 +195,9 @@ def test_jaccard_small_tiles(spark, monkeypatch):
     assert got == _components(rows)
 
 
-def test_jaccard_across_salts(spark, monkeypatch):
-    """Edits of one text that link with that text only, all their shared keys hot, in several salts and tiles."""
-    for name, value in (("SALT_ROWS", 4), ("TILE_ROWS", 3), ("TILE_PAIRS", 2)):
+def test_jaccard_across_windows(spark, monkeypatch):
+    """Edits of one text that link with that text only, all their shared keys hot, in several windows, blobs and tiles."""
+    for name, value in (("HELD", 100), ("SLOTS", 3), ("SLOT_KEYS", 40), ("TILE_ROWS", 3), ("TILE_PAIRS", 2)):
         monkeypatch.setattr(ngram_join, name, value)
     w = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*w[: 5 + 2 * i], f"new{i}", *w[6 + 2 * i :]])) for i in range(24)] + [(99, " ".join(w))]
@@ -207,14 +207,40 @@ def test_jaccard_across_salts(spark, monkeypatch):
 
 
 def test_jaccard_near_copy_of_a_hot_text(spark, monkeypatch):
-    """One near copy beside many exact copies: each is alone in its salt of every key they share."""
-    monkeypatch.setattr(ngram_join, "SALT_ROWS", 2)
+    """One near copy beside many exact copies, a window for each text."""
+    monkeypatch.setattr(ngram_join, "HELD", 8)
     w = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(w)) for i in range(1, 41)] + [(99, " ".join([*w[:20], "new", *w[21:]])), (100, prose(60, 5))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows).coalesce(1)).collect()}
     assert got == _components(rows)
 
 
+def test_word_hashes(monkeypatch):
+    """Words of many texts hashed at once are those that a split gives, over pieces and for long words."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "PIECE", 64)
+    monkeypatch.setattr(ngram_join, "LONG_WORD", 20)
+    monkeypatch.setattr(ngram_join, "_WORDS", [])
+    rng = random.Random(8)
+    texts = [None, "", " ", "a", "A b", "ab c", "x" * 300, " y" * 90 + "z" * 70 + " y"]
+    texts += ["".join(rng.choice("abAB é \t\n\x1c\x85") for _ in range(rng.randrange(160))) for _ in range(200)]
+    words, back = {}, {}
+    got = list(ngram_join.sets_of(pa.array(texts).slice(0), 1))
+    for t, sig in zip(texts, got, strict=True):
+        ws = set((t or "").encode().lower().split())
+        assert len(sig) == len(ws)
+        if len(ws) == 1:
+            assert words.setdefault(sig[0], w := next(iter(ws))) == w and back.setdefault(w, sig[0]) == sig[0]
+    for t, sig in zip(texts, ngram_join.sets_of(pa.array(["q", *texts]).slice(1), 2), strict=True):
+        ws = (t or "").encode().lower().split()
+        assert len(sig) == len({tuple(ws[i : i + 2]) for i in range(max(1, len(ws) - 1))} - {()})
+    for a, x in zip(texts, got, strict=True):
+        for b, y in zip(texts[:40], got[:40], strict=True):
+            both = set((a or "").encode().lower().split()) & set((b or "").encode().lower().split())
+            assert len(set(x.tolist()) & set(y.tolist())) == len(both)
+
+
 def test_jaccard_odd_tables(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (7, None), (8, "A B c d e f")]
@@ -222,6 +248,34 @@ def test_jaccard_odd_tables(spark):
     assert got == {(None, 2, None): 1, (3, 2, 3): 2, (7, 0, 7): 1, (8, 2, 3): 1}
 
 
+PROBE = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "other text"), (3, "other text"), (3, "q q q"), (3, "q q q"), (None, None), (5, "")]
+
+
+def _clashing(spark, rows):
+    """A table with column names that a careless join would use itself."""
+    schema = "doc_id long, text string, rk string, cnt int, cnt_ int, `a.b` string, __keep long, __bad long, h long, spans int"
+    return spark.createDataFrame([(i, t, "k", 1, 2, "x", 3, 4, 5, 6) for i, t in rows], schema)
+
+
+def test_stages_keep_rows_not_ids(spark):
+    """Null ids, ids of several texts, repeated rows, clashing names and empty tables in the filtering stages."""
+    table = _clashing(spark, PROBE)
+    some = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    copies = exact_dedup.drop_copies(table)
+    assert some(copies) == {(None, "a b c d e f"): 1, (1, "other text"): 1, (3, "q q q"): 1, (5, ""): 1}
+    near = ngram_join.keep_one(table)
+    assert some(near) == {(None, "a b c d e f"): 2, (1, "other text"): 1, (3, "q q q"): 1, (None, None): 1, (5, ""): 1}
+    bench = spark.createDataFrame([(1, "other text")], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(table, bench)
+    assert some(clean) == Counter(r for r in PROBE if r[1] != "other text")
+    known = lang_id.keep_known(table.selectExpr("*", "'en' as lang"))
+    for out, names in ((copies, table.columns), (near, table.columns), (clean, table.columns), (known, [*table.columns, "lang"])):
+        assert out.columns == names
+    none = _clashing(spark, [])
+    for step in (exact_dedup.drop_copies, ngram_join.keep_one, lambda d: decontaminate.drop_contaminated(d, bench)):
+        assert step(none).count() == 0
+
+
 def test_keep_one_keeps_null_ids(spark):
     rows = [(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (8, "A B c d e f")]
     got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(frame(spark, rows)).collect())
