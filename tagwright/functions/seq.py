@@ -51,7 +51,7 @@ def hamming_within(a: Column | str, b: Column | str, k: int) -> Column:
 def panel_hamming(a: Column | str, b: Column | str) -> Column:
     """Hamming distance as panels use it: unequal lengths are as far apart as the longer is long."""
     a, b = _c(a), _c(b)
-    return F.coalesce(hamming(a, b), F.greatest(F.length(a), F.length(b)))
+    return F.when(F.length(a) != F.length(b), F.greatest(F.length(a), F.length(b))).otherwise(F.coalesce(hamming_2bit(encode_2bit(a), encode_2bit(b)), hamming(a, b)))
 
 
 def sequence_levenshtein(a: Column | str, b: Column | str, left: str = "", right: str = "", context: int | None = None) -> Column:

@@ -13,7 +13,6 @@ document starts with a uniform transition, and the chain is cut into rows that a
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,21 +22,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import quoted, row_key, rows_of
 
-#: Labelled rows per language that the field is fitted on, and the longest text among them.
-ROWS_PER_LANG, MAX_CHARS = 200, 20_000
-#: Languages that can be learned, hashed features, sweeps over the sample, words of a passage.
-MAX_LANGS, FEATURES, SWEEPS, PASSAGE = 64, 1 << 18, 20, 40
+#: Labelled rows that the field is fitted on: of each language, and of all (but one of each language at least).
+ROWS_PER_LANG, SAMPLE_ROWS = 200, 12_800
+#: Passages of one such row, spread over its whole text.
+PASSAGES = 64
+#: Hashed features, sweeps over the sample, words of a passage.
+FEATURES, SWEEPS, PASSAGE = 1 << 18, 20, 40
 #: Letters of one word of the chain; longer tokens become several words.
 WORD = 60
 #: Distinct tokens whose emissions a worker keeps.
 KNOWN = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def clean(token: str) -> str:
-    return "".join(_LETTERS.findall(token.lower()))
+    """The letters of a token, and nothing that only counts as part of a word (digits, fractions, numerals)."""
+    low = token.lower()
+    return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
 def pieces(token: str) -> list[str]:
@@ -285,21 +287,40 @@ class Labeller:
 
 
 def held_out(id_col: str) -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(quoted(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole short texts; of a long one ``PASSAGES`` passages of ``PASSAGE`` words at even distances."""
+    for batch in batches:
+        out = []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = [p for token in (text.as_py() or "").split() for p in pieces(token)]
+            starts = np.arange(0, len(words), PASSAGE)
+            if len(starts) > PASSAGES:
+                starts = starts[np.linspace(0, len(starts) - 1, PASSAGES).astype(int)]
+            out += [(lang, " ".join(words[i : i + PASSAGE])) for i in starts.tolist()]
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in out], pa.string()), "text": pa.array([x for _, x in out], pa.string())})
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = ROWS_PER_LANG) -> Field | None:
-    """A field from at most ``per_lang`` labelled rows of each language, chosen by a hash of the id."""
-    may = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & (F.length(text_col) <= MAX_CHARS))
-    order = W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = may.select(F.col(id_col), F.col(lang_col)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
-    langs = [r[0] for r in ids.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()]
-    chosen = [r[0] for r in ids.where(F.col(lang_col).isin(langs)).select(id_col).limit(MAX_LANGS * per_lang).collect()]
-    if not chosen:
+    """A field from a sample of the labelled rows of every language there is, chosen by a hash of the id.
+
+    At most ``per_lang`` rows of a language and ``SAMPLE_ROWS`` in all, with passages from each
+    text's whole length; a language has one row at least, whatever the number of languages. Ties
+    are settled by id and text, and repeated rows count once, so the field is the same every time.
+    """
+    may = docs.where(quoted(lang_col).isNotNull() & quoted(id_col).isNotNull() & ~held_out(id_col))
+    may = may.select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).alias("text"), quoted(id_col).alias("id"), row_key(id_col, text_col).alias("rk"))
+    langs = may.select("lang").distinct().count()
+    if not langs:
         return None
-    rows = may.where(F.col(id_col).isin(chosen)).select(text_col, lang_col, id_col).limit(2 * MAX_LANGS * per_lang).collect()
-    rows.sort(key=lambda r: (r[2], r[1], r[0]))
-    return fit([(r[0], r[1]) for r in rows])
+    each = max(1, min(per_lang, SAMPLE_ROWS // langs))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "rk")
+    chosen = may.select("lang", "id", "rk").withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("rk").distinct()
+    rows = may.join(F.broadcast(chosen), "rk").dropDuplicates(["rk", "lang"]).select("lang", "text")  # SAMPLE_ROWS keys, or one a language
+    got = sorted((r.lang, r.text) for r in rows.mapInArrow(_passages, "lang string, text string").collect())
+    return fit([(text, lang) for lang, text in got])
 
 
 _READY: dict[int, Labeller] = {}
@@ -309,9 +330,11 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
     """(doc_id, held_out, lang_pred, score) of every whole text; a narrow pass.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing could be learned.
-    Null ids count as not held out; repeated rows are labelled alike; other columns are ignored.
+    Of languages with the same share the first by name is named. Null ids count as not held out;
+    repeated rows are labelled alike; a text may be of any length and counts whole; an empty table
+    gives an empty result; other columns are ignored.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = docs.select(quoted(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     if field is None:
         return slim.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     model = docs.sparkSession.sparkContext.broadcast(field)
@@ -337,24 +360,25 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
     return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.4, **names: str) -> DataFrame:
+def keep_known(docs: DataFrame, min_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without rows whose text has no letter or no language of that score; columns unchanged.
 
+    Each row is judged by its own text in one narrow pass, so null and repeated ids are no matter.
     Where no row is labelled, only those without a letter go.
     """
-    field = learn(docs, **names)
-    text = names.get("text_col", "text")
+    field = learn(docs, id_col, text_col, lang_col)
     if field is None:
-        return docs.where(F.col(text).rlike(r"\p{L}"))
+        return docs.where(quoted(text_col).rlike(r"\p{L}"))
     model = docs.sparkSession.sparkContext.broadcast(field)
-    schema = docs.schema
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = Labeller(model.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = lab.documents([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                got = lab.documents([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([g[0] != "und" and g[1] >= min_score for g in got], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -13,11 +13,13 @@ component of links) of every document is found exactly, without all pairs. Equal
    the same documents one is enough.
 3. *Hubs.* A key's hub is its document with the fewest keys of its own (the likeliest original).
    Each document is compared with the best hub of its keys, so a large class costs a pair a document.
-4. *Tiles.* Keys whose documents are then in several components are cut into tiles by size band;
-   tiles of the same or neighbouring bands compare bitmaps, whose bit counts bound the overlap from
-   above. Each component's likeliest pairs are verified first; a tile that holds pairs back says so,
-   and further turns take more, until no pair across two components is left untried. A key's largest
-   component, which is settled within itself, meets the tiles of the other documents only.
+4. *Tiles.* Documents of one hub, and of hubs that share a key, form a group (a key with many hubs
+   by itself), so that two documents meet once and not for each key of theirs. Groups whose documents
+   are then in several components are cut into tiles by size band; tiles of the same or neighbouring
+   bands compare bitmaps, whose bit counts bound the overlap from above. Each component's likeliest
+   pairs are verified first; a tile that holds pairs back says so, and further turns take more, until
+   no pair across two components is left untried. A group's largest component, which is settled
+   within itself, meets the tiles of the other documents only.
 
 Candidates are verified by intersecting sorted arrays of 64-bit shingle hashes.
 """
@@ -32,15 +34,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared_keys
 from .common import components, drop_staged, quoted, release, row_key, rows_of, stage, take_rows
 
-#: Keys that a task holds before it passes them on; blobs that it deals them to; keys of a blob's group.
-HELD, SLOTS, SLOT_KEYS = 1_500_000, 256, 2_000_000
 #: Members that a hub is compared with in one task; documents of one tile.
 HUB_ROWS, TILE_ROWS = 500, 512
 #: Pairs that a tile sends to verification for one component in the first turn; each turn takes MORE times as many.
-TILE_PAIRS, MORE = 4, 8
-#: Bits of the largest bitmap; smaller sets have at least eight a shingle.
+TILE_PAIRS, MORE = 16, 8
+#: Hubs whose documents are taken together where they share a key; a key of more is taken by itself.
+HOMES = 8
+#: Bits of the largest bitmap; smaller sets have four to eight a shingle.
 MAX_BITS = 1 << 17
 #: Bytes of text that are hashed at once, and the length from which a word is hashed by itself.
 PIECE, LONG_WORD = 1 << 20, 512
@@ -71,7 +74,8 @@ class _Words:
         if not len(raw):
             return np.empty(0, _U), np.zeros(len(edges), np.int64)
         gap = self.space[raw]
-        before, after = np.r_[True, gap[:-1]], np.r_[gap[1:], True]
+        before, after = np.ones(len(gap), bool), np.ones(len(gap), bool)
+        before[1:], after[:-1] = gap[:-1], gap[1:]
         inner = edges[(edges > 0) & (edges < len(raw))]
         before[inner] = True
         after[inner - 1] = True
@@ -107,17 +111,24 @@ class _Words:
 _WORDS: list[_Words] = []
 
 
+def _sorted(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[shared_keys.starts(x)]
+
+
+def _chained(words: np.ndarray, span: int, seed: int = 0) -> np.ndarray:
+    """A hash of each ``span`` neighbouring words."""
+    x = np.full(len(words) - span + 1, seed, _U)
+    for k in range(span):
+        x *= _M
+        x += words[k : len(words) - span + 1 + k]
+    return _mix(x)
+
+
 def _set_of(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text with these words."""
+    """Sorted distinct hashes of the shingles of a text with these words; few words are one shingle."""
     n = len(words)
-    if not n:
-        return np.empty(0, _U)
-    span = min(width, n)
-    x = np.full(n - span + 1, span if n < width else 0, _U)
-    for k in range(span):
-        x = x * _M + words[k : n - span + 1 + k]
-    x = np.sort(_mix(x))
-    return x[np.r_[True, x[1:] != x[:-1]]]
+    return _sorted(_chained(words, min(width, n), n if n < width else 0)) if n else np.empty(0, _U)
 
 
 def sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -138,8 +149,9 @@ def sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             continue
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
         h, cut = words.piece(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        every = _chained(h, width) if len(h) >= width else h[:0]  # of one text where it holds them all
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            yield _set_of(h[x:y], width)
+            yield _sorted(every[x : y - width + 1]) if y - x >= width else _set_of(h[x:y], width)
         at = to
 
 
@@ -148,17 +160,12 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def bitmap(sig: np.ndarray) -> bytes:
-    bits = min(MAX_BITS, max(64, 8 << (len(sig) - 1).bit_length()))
+    bits = min(MAX_BITS, max(64, 4 << (len(sig) - 1).bit_length()))
     on = np.zeros(bits, np.uint8)
     on[(sig & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(on, bitorder="little").tobytes()
 
 
-def _digest(sig: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(sig.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def _own(n: int, num: int, den: int) -> int:
     """Shingles of a set of n that a linked set may lack."""
     return (den - num) * n // den
@@ -178,40 +185,11 @@ def _needed(n: Column, num: int, den: int) -> Column:
     return F.when(k >= 8, k - 1).otherwise(k).cast("int")
 
 
-def _scan(width: int, num: int, den: int):
-    """Kind 0: a row a document. Kind 1: (h1, key), the key being in several sets of the task.
-    Kind 2: packed (key, h1), one for each key of the task, by slot."""
-    kinds = [("kind", pa.int8()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("h1", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("slot", pa.int32()), ("blob", pa.binary())]
-    arrow = pa.schema(kinds)
-
-    def made(**cols) -> pa.RecordBatch:
-        n = len(next(iter(cols.values())))
-        return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in kinds], schema=arrow)
-
-    def flush(keys: list, nodes: list) -> Iterator[pa.RecordBatch]:
-        if not keys:
-            return
-        k = np.concatenate(keys)
-        node = np.repeat(np.array(nodes, np.int64), [len(x) for x in keys])
-        order = np.argsort(k, kind="stable")
-        k, node = k[order], node[order]
-        new = np.r_[True, k[1:] != k[:-1]]
-        several = ~new | np.r_[~new[1:], False]
-        for at in range(0, int(several.sum()), 1 << 16):
-            cut = slice(at, at + (1 << 16))
-            x = k[several][cut].view(np.int64)
-            yield made(kind=np.ones(len(x), np.int8), h1=node[several][cut], key=x)
-        k, node = k[new], node[new]
-        slot = (k % _U(SLOTS)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        k, node, slot = k[order], node[order], slot[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]), len(k)]
-        for i in range(0, len(cuts) - 1, 16):
-            part = list(zip(cuts[i : i + 16], cuts[i + 1 : i + 17], strict=False))
-            yield made(kind=np.full(len(part), 2, np.int8), slot=np.array([slot[x] for x, _ in part], np.int32), n=np.array([y - x for x, y in part], np.int64), blob=[pack(k[x:y], node[x:y]) for x, y in part])
+def _scan(width: int, num: int, den: int, held: int, slots: int):
+    """A row a document, and the first keys of each set by hash for :mod:`.shared_keys`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, seen, held = [], [], set(), 0
+        window = shared_keys.Window(held, slots)
         for batch in batches:
             ids, rks = batch.column(0), batch.column(1)
             h1, n = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
@@ -219,88 +197,17 @@ def _scan(width: int, num: int, den: int):
                 n[i] = len(sig)
                 if not len(sig):
                     continue
-                h1[i] = d = _digest(sig)[0]
-                if null or d in seen:  # an equal set of this task has told all
+                h1[i] = d = int.from_bytes(xxhash.xxh3_64_digest(sig.tobytes()), "little", signed=True)
+                if null or window.has(d):  # an equal set of this task has told all
                     continue
                 own = sig[: _own(len(sig), num, den) + _common(len(sig), num, den)] >> _U(16)
-                own = own[np.r_[True, own[1:] != own[:-1]]]
-                seen.add(d)
-                keys.append(own)
-                nodes.append(d)
-                held += len(own)
-                if held >= HELD or len(nodes) >= HELD // 8:
-                    yield from flush(keys, nodes)
-                    keys, nodes, seen, held = [], [], set(), 0
-            yield made(kind=np.zeros(len(ids), np.int8), doc_id=ids, rk=rks, h1=h1, n=n)
-        yield from flush(keys, nodes)
-
-    return run, "kind byte, doc_id long, rk long, h1 long, key long, n long, slot int, blob binary"
-
-
-def pack(k: np.ndarray, node: np.ndarray) -> bytes:
-    """Keys of 48 bits and their nodes: the distinct nodes, then each key and the place of its node."""
-    names, place = np.unique(node, return_inverse=True)
-    wide = place.astype(np.uint32 if len(names) > 65_535 else np.uint16)
-    low = np.ascontiguousarray(k).view(np.uint8).reshape(-1, 8)[:, :6]
-    return len(names).to_bytes(4, "little") + names.tobytes() + low.tobytes() + wide.tobytes()
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int.from_bytes(blob[:4], "little")
-    names = np.frombuffer(blob, np.int64, size, 4)
-    kind = np.dtype(np.uint32 if size > 65_535 else np.uint16)
-    n = (len(blob) - 4 - 8 * size) // (6 + kind.itemsize)
-    k = np.zeros((n, 8), np.uint8)
-    k[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 4 + 8 * size).reshape(n, 6)
-    return k.reshape(-1).view(_U), names[np.frombuffer(blob[4 + 8 * size + 6 * n :], kind)]
-
-
-def _split(parts: int):
-    """Packed rows (slot, blob) cut further by key, for corpora of many keys."""
-    arrow = pa.schema([("slot", pa.int32()), ("sub", pa.int32()), ("blob", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in rows_of(batch, 16):
-                out = []
-                for r in rows:
-                    k, node = unpack(r["blob"])
-                    sub = (k // _U(SLOTS) % _U(parts)).astype(np.int64)
-                    for s in np.unique(sub):
-                        out.append({"slot": r["slot"], "sub": int(s), "blob": pack(k[sub == s], node[sub == s])})
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                yield from window.add(d, own[shared_keys.starts(own)])
+            yield shared_keys.made(kind=np.zeros(len(ids), np.int8), doc_id=ids, rk=rks, h1=h1, n=n)
+        yield from window.flush()
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed records sorted by (slot, sub): (node, key) for keys that several nodes have."""
-
-    def told(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if len(blobs) < 2:
-            return
-        ks, ds = zip(*map(unpack, blobs), strict=True)
-        k, d = np.concatenate(ks), np.concatenate(ds)
-        order = np.argsort(k, kind="stable")
-        k, d = k[order], d[order]
-        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        runs = np.diff(np.r_[start, len(k)])
-        several = np.repeat(np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start), runs)
-        k, d = k[several].view(np.int64), d[several]
-        for at in range(0, len(k), 1 << 16):
-            yield pa.RecordBatch.from_pydict({"h1": d[at : at + (1 << 16)], "key": k[at : at + (1 << 16)]})
-
-    at, held = None, []
-    for batch in batches:
-        slots, subs, blobs = (batch.column(i) for i in range(3))
-        for s, u, b in zip(slots.to_pylist(), subs.to_pylist(), blobs, strict=True):
-            if (s, u) != at:
-                yield from told(held)
-                at, held = (s, u), []
-            held.append(b.as_py())
-    yield from told(held)
-
-
 def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose nodes' shingle sets reach the threshold; ``texts`` is (node, text).
 
@@ -447,19 +354,29 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, num: int
     return dealt.mapInArrow(_compare_tiles(num, den, most), "a long, b long").distinct(), full
 
 
+def _meetings(groups: DataFrame, near: DataFrame) -> DataFrame:
+    """(key, node): groups that any two documents of a key share, with fewer rows than one a key and document."""
+    home = near.select(F.col("b").alias("node"), F.col("hub").alias("home"))
+    at_home = groups.join(home, "node", "left").select("key", "node", F.coalesce("home", "node").alias("home"))
+    homes = at_home.select("key", "home").distinct()
+    size = homes.groupBy("key").agg(F.count("*").alias("homes"))
+    few = homes.join(size.where(f"homes <= {HOMES}"), "key").groupBy("key").agg(F.array_sort(F.collect_list("home")).alias("h"))
+    pairs = few.select(F.explode(F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 1, F.size("h")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).select("p.x", "p.y").distinct()
+    pairs = pairs.select(F.xxhash64("x", "y").alias("key"), F.explode(F.array_distinct(F.array("x", "y"))).alias("home"))
+    several = pairs.join(at_home.select("home", "node").distinct(), "home").select("key", "node")
+    alone = at_home.join(size.where(f"homes > {HOMES}"), "key").select("key", "node")
+    return several.union(alone).distinct()
+
+
 def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rk, h1, n) of every row, and (node, component) of the sets that have links."""
     spark = docs.sparkSession
     slim = docs.select(quoted(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), quoted(text_col).cast("string").alias("text"))
-    run, schema = _scan(width, num, den)
-    scanned = stage(slim.mapInArrow(run, schema), "jaccard-scan")
+    run = _scan(width, num, den, shared_keys.HELD, shared_keys.SLOTS)
+    scanned = stage(slim.mapInArrow(run, shared_keys.SCHEMA), "jaccard-scan")
     sets = stage(scanned.where("kind = 0").select("doc_id", "rk", "h1", "n"), "jaccard-sets")
     nodes = sets.where("n > 0 and doc_id is not null").groupBy(F.col("h1").alias("node")).agg(F.min("rk").alias("rk"), F.min("n").alias("n"))
-    packed = scanned.where("kind = 2")
-    parts = 1 + (packed.agg(F.sum("n")).first()[0] or 0) // (SLOTS * SLOT_KEYS)
-    blobs = packed.select("slot", F.lit(0).alias("sub"), "blob") if parts == 1 else packed.select("slot", "blob").mapInArrow(_split(parts), "slot int, sub int, blob binary")
-    met = blobs.repartition("slot", "sub").sortWithinPartitions("slot", "sub").mapInArrow(_meet, "h1 long, key long")
-    shared = met.union(scanned.where("kind = 1").select("h1", "key"))
+    shared = shared_keys.shared(scanned)
 
     # Nodes of whose keys enough occur elsewhere; then again, elsewhere among those.
     need = _needed(F.col("n"), num, den)
@@ -479,7 +396,7 @@ def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_
     same = [F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")]
     one = member.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("hub"), *same).where("m > 1").groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "hub")).alias("k")).select("k.key", "k.hub")
     groups = stage(member.join(one, "key"), "jaccard-groups")
-    texts = stage(slim.join(alive.select("rk", "node"), "rk").select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
+    texts = stage(slim.select("rk", "text").join(alive.select("rk", "node"), "rk").dropDuplicates(["rk"]).select("node", "text"), "jaccard-texts")
     drop_staged(scanned, some)
     release(spark)
 
@@ -495,7 +412,7 @@ def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "n": pa.array([len(s) for s in sigs], pa.int64()), "bits": pa.array([bitmap(s) for s in sigs], pa.binary())})
 
     sizes = stage(texts.mapInArrow(sized, "node long, n long, bits binary"), "jaccard-sizes")
-    members = groups.select("key", "node")
+    members = stage(_meetings(groups, tried[0].withColumn("b", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")))), "jaccard-meetings")
     found = [links]
     labels = components(links, "jaccard")
     most = TILE_PAIRS
@@ -516,7 +433,7 @@ def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_
         if fresh.where("a is null").isEmpty():  # no tile held any pair back
             break
         most *= MORE
-    drop_staged(alive, groups, texts, sizes, *found, *tried)
+    drop_staged(alive, groups, members, texts, sizes, *found, *tried)
     release(spark)
     return sets, labels
 

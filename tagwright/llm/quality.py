@@ -1,27 +1,31 @@
 """Quality by co-training: a text view and a metadata view teach each other, then score together.
 
-Each view has a logistic model of its own. In each round either model labels the unlabelled rows
-it is surest of, for the other one to learn from. At the end both are calibrated on labelled
-rows kept aside, and their evidence (log-odds over the prior) is added up for every document.
+Each view has a logistic model of its own, fitted on labelled rows. In each round either model labels
+all documents of the corpus that it is sure of, for the other one to learn from: one narrow pass sums
+up their features by class and cell (a hash of language and source), and those means are further rows
+of the other model's next fit. At the end both are calibrated on labelled rows kept aside, and their
+evidence (log-odds over the prior) is added up for every document.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import row_key, rows_of
 
-#: Labelled rows and unlabelled rows that the models are fitted on, by a hash of the id.
-LABELLED, POOL = 2000, 2000
-#: Rounds of exchange, pseudo-labels of each class and view a round, least probability of one.
-ROUNDS, EXCHANGE, SURE = 4, 100, 0.9
+#: Labelled rows that the models are fitted on, by a hash of the id.
+LABELLED = 2000
+#: Rounds of exchange, least probability of a pseudo-label, weight of all pseudo-labels against the labelled rows.
+ROUNDS, SURE, TRUST = 2, 0.9, 0.5
+#: Cells by which pseudo-labelled documents are summed up, for each class and view.
+CELLS = 8
 #: Hashed words of the text view; hashed values of the metadata view.
 WORDS, VALUES = 1024, 512
 _SYMBOL = re.compile(r"[#$%&*|<>{}\[\]\\^~=@_]")
@@ -119,33 +123,63 @@ class CoTrained:
         return sig(a), sig(b), sig(a + b - self.prior)
 
 
-def co_train(labelled: list[tuple], pool: list[tuple], seed: int = 9) -> CoTrained | None:
-    """From rows (text, lang, source, n_chars, quality) and (text, lang, source, n_chars)."""
+class Told:
+    """Sums of the features of confidently labelled documents: for the view that learns, by class and cell."""
+
+    def __init__(self, models: list[Logistic]):
+        self.models = models
+        self.sums = [np.zeros((2, CELLS, len(m.w))) for m in models]
+        self.counts = [np.zeros((2, CELLS)) for _ in models]
+
+    def add(self, rows: list[tuple]) -> None:
+        """Rows (text, lang, source, n_chars)."""
+        views = [np.stack([text_view(r[0]) for r in rows]), np.stack([meta_view(*r[1:4]) for r in rows])]
+        cell = np.array([zlib.crc32(f"{r[1]}|{r[2]}".encode()) % CELLS for r in rows])
+        for k in (0, 1):
+            p = 1 / (1 + np.exp(-(views[k] @ self.models[k].w)))
+            for side, sure in ((1, p >= SURE), (0, p <= 1 - SURE)):
+                np.add.at(self.sums[1 - k][side], cell[sure], views[1 - k][sure])
+                np.add.at(self.counts[1 - k][side], cell[sure], 1)
+
+    def rows(self) -> Iterator[tuple[int, int, int, int, float]]:
+        """(view, side, cell, place, value) of what is not 0; place -1 is the count."""
+        for k in (0, 1):
+            for side, cell in zip(*np.nonzero(self.counts[k]), strict=True):
+                yield k, int(side), int(cell), -1, float(self.counts[k][side, cell])
+                for i in np.flatnonzero(self.sums[k][side, cell]):
+                    yield k, int(side), int(cell), int(i), float(self.sums[k][side, cell, i])
+
+    def take(self, rows: Iterable[tuple[int, int, int, int, float]]) -> Told:
+        for k, side, cell, place, value in rows:
+            if place < 0:
+                self.counts[k][side, cell] += value
+            else:
+                self.sums[k][side, cell, place] += value
+        return self
+
+    def lesson(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Means, classes and shares of the documents, for view k."""
+        side, cell = np.nonzero(self.counts[k])
+        n = self.counts[k][side, cell]
+        return (self.sums[k][side, cell] / n[:, None]).astype(np.float32), side.astype(float), n / max(1.0, n.sum())
+
+
+def co_train(labelled: list[tuple], exchange: Callable[[list[Logistic]], Told], rounds: int = ROUNDS, seed: int = 9) -> CoTrained | None:
+    """From rows (text, lang, source, n_chars, quality); ``exchange`` asks the models about all documents."""
     if not labelled:
         return None
     y = np.array([float(r[4]) for r in labelled])
     views = [np.stack([text_view(r[0]) for r in labelled]), np.stack([meta_view(*r[1:4]) for r in labelled])]
-    more = [np.stack([text_view(r[0]) for r in pool]), np.stack([meta_view(*r[1:4]) for r in pool])] if pool else [np.zeros((0, v.shape[1]), np.float32) for v in views]
     aside = np.random.default_rng(seed).random(len(y)) < 0.2
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
         aside[:] = False
     learn = ~aside
-    pseudo: list[dict[int, float]] = [{}, {}]  # for each view, what the other one told it
-    models = [Logistic(v.shape[1]) for v in views]
-    for turn in range(ROUNDS + 1):
-        for k in (0, 1):
-            told = sorted(pseudo[k])
-            x = np.concatenate([views[k][learn], more[k][told]])
-            t = np.concatenate([y[learn], [pseudo[k][i] for i in told]])
-            weight = np.r_[np.ones(learn.sum()), np.full(len(told), 0.5)]
-            models[k].fit(x, t, weight)
-        if turn == ROUNDS or not len(more[0]):
-            break
+    models = [Logistic(v.shape[1]).fit(v[learn], y[learn], np.ones(learn.sum())) for v in views]
+    for _ in range(rounds):
+        told = exchange(models)
         for k in (0, 1):
-            p = 1 / (1 + np.exp(-(more[k] @ models[k].w)))
-            for side, rank in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                sure = [int(i) for i in rank if int(i) not in pseudo[1 - k] and (p[i] >= SURE if side else p[i] <= 1 - SURE)][:EXCHANGE]
-                pseudo[1 - k].update(dict.fromkeys(sure, side))
+            x, side, share = told.lesson(k)
+            models[k].fit(np.concatenate([views[k][learn], x]), np.r_[y[learn], side], np.r_[np.ones(learn.sum()), share * learn.sum() * TRUST])
     rows = aside if aside.any() else learn
     for k in (0, 1):
         models[k].calibrate(views[k][rows], y[rows])
@@ -153,28 +187,47 @@ def co_train(labelled: list[tuple], pool: list[tuple], seed: int = 9) -> CoTrain
     return CoTrained(models[0], models[1], float(np.log(rate / (1 - rate))))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """Fit on at most ``LABELLED`` labelled and ``POOL`` other documents, chosen by a hash of the id."""
-    cols = ("text", "lang", "source", "n_chars")
-    slim = docs.select("doc_id", *cols)
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    got = slim.join(some, "doc_id").limit(2 * LABELLED).collect()
-    other = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)
-    pool = slim.join(other, "doc_id").limit(2 * POOL).collect()
-    row = lambda r: (r.text or "", r.lang, r.source, r.n_chars)
-    got.sort(key=lambda r: (r.doc_id, r.text or ""))
-    pool.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return co_train([(*row(r), r.quality) for r in got], [row(r) for r in pool])
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrained | None:
+    """Fit on at most ``LABELLED`` labelled rows, chosen by a hash of the id (ties by id and text; repeated
+    rows count once, and of several labels of an id the least), and on all documents of either view's
+    confident labels, whatever their number: they travel as sums, a fixed number of them a task."""
+    slim = _slim(docs).withColumn("rk", row_key("doc_id", "text"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    some = slim.select("doc_id", "rk").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "rk").limit(LABELLED)
+    got = slim.join(F.broadcast(some.select("rk", "quality")), "rk").dropDuplicates(["rk"]).collect()  # LABELLED rows
+    got.sort(key=lambda r: (r.doc_id, r.rk))
+
+    def exchange(models: list[Logistic]) -> Told:
+        held = docs.sparkSession.sparkContext.broadcast(models)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            told = Told(held.value)
+            for batch in batches:
+                for rows in rows_of(batch):
+                    told.add([(r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows])
+            out = list(zip(*told.rows(), strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in out[:4]), pa.array(out[4], pa.float64())], ["view", "side", "cell", "place", "value"])
+
+        sums = slim.select("text", "lang", "source", "n_chars").mapInArrow(run, "view int, side int, cell int, place int, value double")
+        sums = sums.groupBy("view", "side", "cell", "place").agg(F.sum("value").alias("value"))
+        return Told(models).take(tuple(r) for r in sums.collect())  # at most 4 x CELLS feature vectors
+
+    return co_train([(r.text, r.lang, r.source, r.n_chars, r.quality) for r in got], exchange, rounds)
 
 
 def score(docs: DataFrame, model: CoTrained | None, keep_from: float = 0.5) -> DataFrame:
     """(doc_id, p_text, p_meta, score, keep) of every whole document; a narrow pass.
 
-    Null text is empty text; null metadata is a value of its own. Without labels (no model)
-    every score is 0.5 and every document is kept. Null and repeated ids are scored like others.
+    Null text is empty text, and a text of any length counts whole; null metadata is a value of its
+    own. Without labels (no model) every score is 0.5 and every document is kept. Null and repeated
+    ids are scored like others, equal rows alike. An empty table gives an empty result; columns
+    other than doc_id, text, lang, source and n_chars are ignored.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    slim = _slim(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

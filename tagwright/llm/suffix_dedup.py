@@ -1,26 +1,27 @@
 """Removal of repeated byte strings by a run-length (r-)index.
 
 A byte goes if some string of ``length`` bytes over it also starts in a document with a smaller
-id. Equal strings have equal *minimizers* (the least hash of the 16-byte substrings in them), so
-the corpus is cut into segments of neighbouring strings with one minimizer, and only segments
-whose minimizer occurs in several documents are looked at further:
-
-1. Each task finds its minimizers. Those in several of its documents are known at once; of the
-   others one packed record a task goes to the shuffle, which tells which occur elsewhere.
-2. Documents with such minimizers emit those segments. Equal segments of one task travel once,
-   with all their places in the smallest document; the others are wholly repeated.
-3. Segments meet by minimizer, in blocks. A block's text is sorted by contexts of ``length`` bytes
-   (documents ascending within a context) into a run-compressed Burrows-Wheeler transform, with
-   the first document kept for the start of each context's run. Streaming matching statistics,
-   capped at ``length``, by backward search gives each string's context, and so the smallest
-   document that has it.
+id. Equal texts are one node, with their smallest id: their other rows go whole. Equal strings have
+equal *minimizers* (the least hash of the 16-byte substrings in them), so texts are cut into segments
+of neighbouring strings with one minimizer, and only segments whose minimizer occurs in several
+texts are looked at further:
+
+1. Each task tells which minimizers several of its texts have, and sends one packed record of each
+   other one, which tells which occur elsewhere (:mod:`.shared_keys`).
+2. Texts with such minimizers emit those segments. Of equal segments of one task only the smallest
+   document's travels; the others are wholly repeated.
+3. Segments meet by minimizer. A minimizer with more segments than one task should hold is dealt
+   out by its strings of ``length`` bytes instead, equal ones again collapsed in each task first.
+   What meets is sorted by contexts of ``length`` bytes (documents ascending within a context) into a
+   run-compressed Burrows-Wheeler transform, sampled where a context's run starts. Streaming matching
+   statistics, capped at ``length``, by backward search give each string's context, and so the
+   smallest document that has it.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, rows_of, stage
+from . import shared_keys
+from .common import drop_staged, quoted, release, row_key, rows_of, stage
 
 #: Bytes of the substrings that minimizers are chosen from.
 GRAM = 16
-#: Minimizers a task holds before it passes them on; strings of one segment; bytes of segments per block.
-HELD, SEGMENT, BLOCK_BYTES = 3_000_000, 64, 1 << 20
+#: Strings of one segment; bytes of text that a task collapses at once, and that one index is built from.
+SEGMENT, HELD_BYTES, BLOCK_BYTES = 64, 16 << 20, 1 << 20
+#: Segments of one minimizer that one task takes; more are dealt out by their strings.
+HOT_ROWS = 16_384
+#: Strings of a text whose minimizers are found at once.
+PIECE = 1 << 19
 _U = np.uint64
 
 
@@ -61,197 +67,181 @@ def minimizers(b: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode(), np.uint8)
+def runs_of(raw: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(minimizer of 48 bits, start, end) of each run of neighbouring strings, by pieces of a long text."""
+    for at in range(0, len(raw) - length + 1, PIECE):
+        m = minimizers(raw[at : at + PIECE + length - 1], length) >> _U(16)
+        cut = np.flatnonzero(shared_keys.starts(m))
+        yield m[cut], cut + at, np.append(cut[1:], len(m)) + at
 
 
-def _identity(text: str | None) -> int:
-    return int.from_bytes(xxhash.xxh64_digest((text or "").encode()), "little", signed=True)
+def _scan(length: int, held: int, slots: int):
+    """A row a document, and each text's minimizers for :mod:`.shared_keys`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window = shared_keys.Window(held, slots)
+        for batch in batches:
+            ids = batch.column(0)
+            h1, h2, n, sha = [], [], [], []
+            for text, null in zip(batch.column(2), ids.is_null().to_pylist(), strict=True):
+                raw = (text.as_py() or "").encode()
+                d = xxhash.xxh3_128_digest(raw)
+                node = int.from_bytes(d[:8], "little", signed=True)
+                h1.append(node)
+                h2.append(int.from_bytes(d[8:], "little", signed=True))
+                n.append(len(raw))
+                sha.append(hashlib.sha256(raw).digest())
+                if null or len(raw) < length or window.has(node):
+                    continue
+                keys = [k for k, _, _ in runs_of(np.frombuffer(raw, np.uint8), length)]
+                own = np.sort(np.concatenate(keys))
+                yield from window.add(node, own[shared_keys.starts(own)])
+            yield shared_keys.made(kind=np.zeros(len(ids), np.int8), doc_id=ids, rk=batch.column(1), h1=h1, h2=h2, n=n, sha=sha)
+        yield from window.flush()
 
-_SCAN = "kind int, doc_id long, h long, n_bytes long, sha string, keys binary, bucket int"
-_SCAN_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("keys", pa.binary()), ("bucket", pa.int32())])
+    return run
 
 
-def _scan(length: int, buckets: int, packed: bool):
-    """Without ``packed``: a row per document (kind 0) and, for documents with minimizers that other
-    documents of the task have, one with those (kind 1). With it: packed (minimizer, document) by bucket."""
+#: ``seg``: a segment's bytes, at ``start`` of ``node``, whose smallest id is ``doc_id``; ``more``: its further places
+#: in texts of that id, as pairs (node, start). Without ``seg``: bytes from ``start`` to ``key`` are repeated.
+_SEG = "key long, salt int, doc_id long, node long, start long, seg binary, more binary"
+_SEG_ARROW = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("start", pa.int64()), ("seg", pa.binary()), ("more", pa.binary())])
 
-    def flush(keys: list, docs: list) -> Iterator[pa.RecordBatch]:
-        if not keys:
-            return
-        k, d = np.concatenate(keys), np.repeat(np.array([x for x, _ in docs], np.int64), [n for _, n in docs])
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        first = np.r_[True, k[1:] != k[:-1]]
-        if packed:
-            k, d = k[first], d[first]
-            b = (k >> _U(40)) % _U(buckets)
-            order = np.argsort(b, kind="stable")
-            k, d, b = k[order], d[order], b[order]
-            cuts = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]]), len(b)]
-            base = int(d.min())
-            wide = int(d.max()) - base >= 1 << 32
-            out = []
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                ids = (d[x:y] - base).astype(np.int64 if wide else np.uint32)
-                out.append({"kind": 2 + wide, "doc_id": base, "keys": (k[x:y] >> _U(16)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + ids.tobytes(), "bucket": int(b[x])})
-            for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_pylist(out[i : i + 64], schema=_SCAN_ARROW)
-            return
-        start = np.flatnonzero(first)
-        runs = np.diff(np.r_[start, len(k)])
-        several = np.repeat((d[np.r_[start[1:], len(d)] - 1] != d[start]) & (runs > 1), runs)
-        k, d = k[several], d[several]
-        order = np.argsort(d, kind="stable")
-        k, d = k[order] >> _U(16), d[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, d[1:] != d[:-1]]), len(d)] if len(d) else [0]
-        out = [{"kind": 1, "doc_id": int(d[x]), "keys": np.unique(k[x:y]).tobytes()} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        for i in range(0, len(out), 512):
-            yield pa.RecordBatch.from_pylist(out[i : i + 512], schema=_SCAN_ARROW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, held = [], [], 0
-        for batch in batches:
-            for rows in rows_of(batch):
-                out = []
-                for r in rows:
-                    raw = (r["text"] or "").encode()
-                    if not packed:
-                        out.append({"kind": 0, "doc_id": r["doc_id"], "h": _identity(r["text"]), "n_bytes": len(raw), "sha": hashlib.sha256(raw).hexdigest()})
-                    if r["doc_id"] is None or len(raw) < length:
-                        continue
-                    m = minimizers(np.frombuffer(raw, np.uint8), length)
-                    own = np.unique(m[np.r_[True, m[1:] != m[:-1]]])
-                    keys.append(own)
-                    docs.append((r["doc_id"], len(own)))
-                    held += len(own)
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=_SCAN_ARROW)
-                if held >= HELD:
-                    yield from flush(keys, docs)
-                    keys, docs, held = [], [], 0
-        yield from flush(keys, docs)
+class _Collapse:
+    """Segments of some texts of a task: of equal ones the smallest document's stay, the others are repeated whole."""
 
-    return run
+    def __init__(self) -> None:
+        self.texts: list[bytes] = []
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
+    def add(self, raw: bytes, offset: int, doc: int, node: int, key: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> Iterator[pa.RecordBatch]:
+        """Segments raw[start:end], which stand ``offset`` further on in the node's text."""
+        n = len(key)
+        full = lambda x: np.full(n, x, np.int64)
+        self.rows.append((full(len(self.texts)), full(doc), full(node), full(offset), key.view(np.int64), start, end, full(salt) if np.isscalar(salt) else salt))
+        self.texts.append(raw)
+        self.size += len(raw) + 100 * n
+        if self.size >= HELD_BYTES:
+            yield from self.flush()
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed records sorted by bucket: (doc_id, keys) for minimizers that several tasks have."""
-
-    def told(blobs: list[dict]) -> Iterator[pa.RecordBatch]:
-        ks, ds = [], []
-        for r in blobs:
-            size = 14 if r["kind"] == 3 else 10
-            raw = np.frombuffer(r["keys"], np.uint8)
-            n = len(raw) // size
-            k = np.zeros((n, 8), np.uint8)
-            k[:, :6] = raw[: 6 * n].reshape(n, 6)
-            ks.append(k.reshape(-1).view(np.uint64))
-            ds.append(np.frombuffer(raw[6 * n :].tobytes(), np.int64 if r["kind"] == 3 else np.uint32).astype(np.int64) + r["doc_id"])
-        k, d = np.concatenate(ks), np.concatenate(ds)
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        same = k[1:] == k[:-1]
-        twice = np.r_[same, False] | np.r_[False, same]
-        k, d = k[twice], d[twice]
-        order = np.lexsort((k, d))
-        k, d = k[order], d[order]
-        if not len(k):
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
             return
-        cuts = np.r_[np.flatnonzero(np.r_[True, d[1:] != d[:-1]]), len(d)]
-        for i in range(0, len(cuts) - 1, 2048):
-            part = list(zip(cuts[i : i + 2048], cuts[i + 1 : i + 2049], strict=False))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d[[x for x, _ in part]], pa.int64()), "keys": pa.array([k[x:y].tobytes() for x, y in part], pa.binary())})
-
-    at, held = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["bucket"] != at:
-                if held:
-                    yield from told(held)
-                at, held = r["bucket"], []
-            held.append(r)
-    if held:
-        yield from told(held)
+        text, doc, node, offset, key, start, end, salt = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        texts = self.texts
+        self.__init__()
+        base = np.r_[0, np.cumsum([len(t) for t in texts])]
+        digest = _digests(np.frombuffer(b"".join(texts), np.uint8), base[text] + start, base[text] + end)
+        order = np.lexsort((start + offset, node, doc, digest))
+        new = np.r_[True, np.diff(digest[order].view(np.int64)) != 0]
+        group = np.cumsum(new) - 1
+        least = doc[order][new][group] == doc[order]
+        gone = order[~least]
+        yield from _spans(node[gone], (start + offset)[gone], (end + offset)[gone])
+        stay = order[least]
+        head = new[least]
+        firsts, count = stay[head], np.diff(np.r_[np.flatnonzero(head), len(stay)])
+        after = np.r_[0, np.cumsum(count)]
+        for at in range(0, len(firsts), 4096):
+            part = firsts[at : at + 4096]
+            segs = [texts[t][a:b] for t, a, b in zip(text[part].tolist(), start[part].tolist(), end[part].tolist(), strict=True)]
+            more = [None if c == 1 else np.c_[node[x], (start + offset)[x]].tobytes() for c, x in ((count[i], stay[after[i] + 1 : after[i + 1]]) for i in range(at, at + len(part)))]
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(salt[part].astype(np.int32)), pa.array(doc[part]), pa.array(node[part]), pa.array((start + offset)[part]), pa.array(segs, pa.binary()), pa.array(more, pa.binary())], schema=_SEG_ARROW)
+
+
+def _digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[start:end], eight bytes at a time, for many short ranges at once."""
+    size = end - start
+    h = size.astype(_U) * _U(0x9E3779B97F4A7C15)
+    wide = np.zeros(len(raw) + 8, np.uint8)
+    wide[: len(raw)] = raw
+    words = np.lib.stride_tricks.as_strided(wide, (len(raw) + 1, 8), (1, 1))
+    at = 0
+    live = np.arange(len(size))
+    while len(live):
+        x = np.ascontiguousarray(words[start[live] + at]).view(_U).reshape(-1)
+        left = size[live] - at
+        short = left < 8
+        if short.any():
+            x[short] &= (_U(1) << (left[short].astype(_U) * _U(8))) - _U(1)
+        y = (h[live] ^ x) * _U(0xBF58476D1CE4E5B9)
+        h[live] = (y ^ (y >> _U(32))) * _U(0x94D049BB133111EB) + _U(at + 1)
+        at += 8
+        live = live[left > 8]
+    return h ^ (h >> _U(29))
+
+
+def _spans(node: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows without segment for repeated bytes, touching ones as one."""
+    if not len(node):
+        return
+    order = np.lexsort((end, start, node))
+    node, start, end = node[order], start[order], end[order]
+    new = np.r_[True, node[1:] != node[:-1]]
+    # Ends so far within a node: nodes are told apart by a step that no end reaches.
+    step = int(end.max()) + 1
+    far = np.maximum.accumulate(end + (np.cumsum(new) - 1) * step) - (np.cumsum(new) - 1) * step
+    cut = np.flatnonzero(new | np.r_[True, start[1:] > far[:-1]])
+    last = np.r_[cut[1:], len(node)] - 1
+    for at in range(0, len(cut), 1 << 15):
+        x, y = cut[at : at + (1 << 15)], last[at : at + (1 << 15)]
+        none = pa.nulls(len(x), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(far[y]), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int64()), pa.array(node[x]), pa.array(start[x]), none, none], schema=_SEG_ARROW)
+
+
+def _segments(length: int):
+    """Texts with their shared minimizers: the segments to compare, and spans that are known to be repeated."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Collapse()
+        for batch in batches:
+            nodes, docs, texts, keys = (batch.column(i) for i in range(4))
+            for i in range(batch.num_rows):
+                raw = texts[i].as_py().encode()
+                want = np.sort(keys[i].values.to_numpy(zero_copy_only=False)).view(_U)
+                node, doc = nodes[i].as_py(), docs[i].as_py()
+                for m, x, y in runs_of(np.frombuffer(raw, np.uint8), length):
+                    hit = np.searchsorted(want, m)
+                    ok = want[np.minimum(hit, len(want) - 1)] == m
+                    m, x, y = m[ok], x[ok], y[ok]
+                    if not len(m):
+                        continue
+                    many = -(-(y - x) // SEGMENT)  # long runs of one minimizer in pieces
+                    if (many > 1).any():
+                        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        m, end = np.repeat(m, many), np.repeat(y, many)
+                        x = np.repeat(x, many) + place * SEGMENT
+                        y = np.minimum(end, x + SEGMENT)
+                    yield from held.add(raw[x[0] : y[-1] + length], int(x[0]), doc, node, m, x - x[0], y - 1 + length - x[0])
+        yield from held.flush()
 
-#: ``more``: further places of the segment in the document, as pairs (h, start).
-_SEG = "block long, key long, doc_id long, h long, start long, seg binary, more binary"
-_SEG_ARROW = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("seg", pa.binary()), ("more", pa.binary())])
+    return run
 
 
-def _segments(length: int, blocks: int):
-    """Documents with their shared minimizers: the segments to compare (block >= 0), once for equal ones
-    of a task, and what is already known to be repeated (block -1; key is the end)."""
+def _strings(length: int):
+    """Segments of hot minimizers as their strings of ``length`` bytes, dealt out by these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # segment digest -> (smallest document so far, its identity, start, key, bytes)
-        best: dict[bytes, tuple] = {}
-        # segment digest -> further places (identity, start) in that document
-        more: dict[bytes, set] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            out = []
-            for d, (doc, h, start, key, seg) in best.items():
-                places = np.array(sorted(more[d]), np.int64).tobytes() if d in more else None
-                out.append({"block": key % blocks, "key": key, "doc_id": doc, "h": h, "start": start, "seg": seg, "more": places})
-                if len(out) == 4096:
-                    yield pa.RecordBatch.from_pylist(out, schema=_SEG_ARROW)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=_SEG_ARROW)
-
+        held = _Collapse()
         for batch in batches:
-            for rows in rows_of(batch, 64):
-                known = []
+            for rows in rows_of(batch):
                 for r in rows:
-                    raw = (r["text"] or "").encode()
-                    m = minimizers(np.frombuffer(raw, np.uint8), length) >> _U(16)
-                    if not len(m):
-                        continue
-                    want = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in r["keys"]]))
-                    cut = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-                    end = np.r_[cut[1:], len(m)]
-                    hit = np.searchsorted(want, m[cut])
-                    ok = want[np.minimum(hit, len(want) - 1)] == m[cut]
-                    for x, y in zip(cut[ok].tolist(), end[ok].tolist(), strict=True):
-                        for a in range(x, y, SEGMENT):
-                            z = min(y, a + SEGMENT) - 1 + length
-                            seg = raw[a:z]
-                            d = xxhash.xxh128_digest(seg)
-                            mine = (r["doc_id"], r["h"], a, int(m[x]), seg)
-                            old = best.get(d)
-                            if old is None:
-                                best[d] = mine
-                                size += len(seg) + 200
-                                continue
-                            if r["doc_id"] == old[0]:
-                                if (r["h"], a) != old[1:3] and (r["h"], a) not in more.get(d, ()):
-                                    more.setdefault(d, set()).add((r["h"], a))
-                                    size += 200
-                                continue
-                            places = [mine[1:3]]
-                            if r["doc_id"] < old[0]:
-                                best[d], mine = mine, old
-                                places = [old[1:3], *more.pop(d, ())]
-                            known += [{"block": -1, "key": at + len(seg), "doc_id": mine[0], "h": h, "start": at, "seg": None, "more": None} for h, at in places]
-                if known:
-                    yield pa.RecordBatch.from_pylist(known, schema=_SEG_ARROW)
-                if size > 64 << 20:
-                    yield from flush()
-                    best.clear()
-                    more.clear()
-                    size = 0
-        yield from flush()
+                    seg, at = r["seg"], np.arange(len(r["seg"]) - length + 1)
+                    of = (_digests(np.frombuffer(seg, np.uint8), at, at + length) % _U(r["salts"])).astype(np.int64) + 1
+                    places = np.r_[np.frombuffer(r["more"] or b"", np.int64).reshape(-1, 2), [[r["node"], r["start"]]]]
+                    for node, start in places.tolist():
+                        yield from held.add(seg, start, r["doc_id"], node, np.full(len(at), r["key"]), at, at + length, of)
+        yield from held.flush()
 
     return run
 
 
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of segments (documents ascending), with contexts of
-    ``length`` symbols; ties within a context by position, so by document."""
+    ``length`` symbols; ties within a context by position, so by document. Kept are the runs of the
+    transform, the starts of contexts, and a document for each of those: nothing for each position."""
 
     def __init__(self, segs: list[bytes], docs: list[int], length: int):
         self.length = length
@@ -274,7 +264,10 @@ class RunIndex:
         prev = self._pair(rank, length - 1 - width)
         rank = self._pair(rank, length - width)
         order = np.argsort(rank * n + np.arange(n))  # ties by position
-        self.first_doc = owner[order]  # read at the start of a context's run only
+        # The transform's rows are sampled where a context's run starts; its first row is the smallest document's.
+        whole = rank[order]
+        self.sample_at = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+        self.sample = owner[order[self.sample_at]]
         lead = prev[order]
         self.short_start = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
         self.n = n
@@ -337,7 +330,7 @@ class RunIndex:
             if t >= self.length - 1:
                 found = hi[:live] > lo[:live]
                 k = place[:live] - 1 - (t - self.length + 1)
-                res[k[found]] = self.first_doc[lo[:live][found]]
+                res[k[found]] = self.sample[np.searchsorted(self.sample_at, lo[:live][found])]
                 j = np.searchsorted(self.short_start, lo[:live], side="right") - 1
                 lo[:live] = self.short_start[j]
                 hi[:live] = np.r_[self.short_start, self.n][j + 1]
@@ -345,117 +338,118 @@ class RunIndex:
         return [res[cut[i] : cut[i + 1]] for i in range(len(segs))]
 
 
-def _places(r: dict, a: int, b: int) -> list[dict]:
-    """A segment's bytes from a to b at each of its places in the document, touching ones as one span."""
-    if not r["more"]:
-        return [{"doc_id": r["doc_id"], "h": r["h"], "start": r["start"] + a, "end": r["start"] + b}]
-    at = np.r_[np.frombuffer(r["more"], np.int64).reshape(-1, 2), [[r["h"], r["start"]]]]
-    h, start = at[np.lexsort((at[:, 1], at[:, 0]))].T
-    cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (start[1:] - start[:-1] > b - a)])
-    return [{"doc_id": r["doc_id"], "h": int(h[x]), "start": int(start[x]) + a, "end": int(start[y]) + b} for x, y in zip(cut, np.r_[cut[1:], len(h)] - 1, strict=True)]
-
-
 def _judge(length: int):
-    """Segments sorted by block: spans of strings that a smaller document has, per document."""
-
-    def told(rows: list[dict]) -> list[dict]:
-        out, open_ = [], []
-        for _, group in groupby(rows, key=lambda r: r["key"]):
-            least: dict[bytes, int] = {}
-            mine = list(group)
+    """Segments sorted by (key, salt): spans of strings that a smaller document has."""
+
+    def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, start, end = [], [], []
+
+        def gone(r: tuple, a: int, b: int) -> None:
+            places = [(r[3], r[4]), *np.frombuffer(r[6], np.int64).reshape(-1, 2).tolist()] if r[6] else [(r[3], r[4])]
+            for x, at in places:
+                node.append(x)
+                start.append(at + a)
+                end.append(at + b)
+
+        open_: list[tuple] = []
+        at = 0
+        while at < len(rows):
+            to = at + 1
+            while to < len(rows) and rows[to][:2] == rows[at][:2]:
+                to += 1
+            mine, at = rows[at:to], to
             if len(mine) < 2:
                 continue
+            least: dict[bytes, int] = {}
             for r in mine:
-                least[r["seg"]] = min(r["doc_id"], least.get(r["seg"], r["doc_id"]))
+                least[r[5]] = min(r[2], least.get(r[5], r[2]))
             # Equal segments of several tasks: all but the smallest document's are repeated whole.
+            rest = []
             for r in mine:
-                if r["doc_id"] > least[r["seg"]]:
-                    out += _places(r, 0, len(r["seg"]))
-            mine = [r for r in mine if r["doc_id"] == least[r["seg"]]]
-            if len({r["doc_id"] for r in mine}) > 1:
-                open_ += mine
-        if not open_:
-            return out
-        open_.sort(key=lambda r: (r["doc_id"], r["start"]))
-        segs = [r["seg"] for r in open_]
-        first = RunIndex(segs, [r["doc_id"] for r in open_], length).first_documents(segs)
-        for r, f in zip(open_, first, strict=True):
-            gone = np.flatnonzero(f < r["doc_id"])
-            if len(gone):
-                cut = np.flatnonzero(np.diff(gone) > 1) + 1
-                for part in np.split(gone, cut):
-                    out += _places(r, int(part[0]), int(part[-1]) + length)
-        return out
-
-    arrow = pa.schema([(c, pa.int64()) for c in ("doc_id", "h", "start", "end")])
+                if r[2] > least[r[5]]:
+                    gone(r, 0, len(r[5]))
+                else:
+                    rest.append(r)
+            if len(least) > 1 and len({r[2] for r in rest}) > 1:
+                open_ += rest
+        if open_:
+            open_.sort(key=lambda r: r[2])
+            segs = [r[5] for r in open_]
+            first = RunIndex(segs, [r[2] for r in open_], length).first_documents(segs)
+            for r, f in zip(open_, first, strict=True):
+                at = np.flatnonzero(f < r[2])
+                if len(at):
+                    cut = np.flatnonzero(np.diff(at) > 1)
+                    for x, y in zip(at[np.r_[0, cut + 1]].tolist(), at[np.r_[cut, len(at) - 1]].tolist(), strict=True):
+                        gone(r, x, y + length)
+        yield from _spans(*(np.array(x, np.int64) for x in (node, start, end)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Blocks are runs of rows; several small ones are taken together, a minimizer never being split.
+        # Several small minimizers are taken together, none being split.
         at, held, size = None, [], 0
         for batch in batches:
-            for rows in rows_of(batch, 4096):
-                for r in rows:
-                    if r["key"] != at and size >= BLOCK_BYTES:
-                        yield pa.RecordBatch.from_pylist(told(held), schema=arrow)
+            for lo in range(0, batch.num_rows, 4096):
+                for r in zip(*(c.to_pylist() for c in batch.slice(lo, 4096).columns), strict=True):
+                    if size >= BLOCK_BYTES and r[:2] != at:
+                        yield from told(held)
                         held, size = [], 0
-                    at = r["key"]
+                    at = r[:2]
                     held.append(r)
-                    size += len(r["seg"]) + len(r["more"] or b"")
+                    size += len(r[5]) + len(r[6] or b"")
         if held:
-            yield pa.RecordBatch.from_pylist(told(held), schema=arrow)
+            yield from told(held)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, texts, spans): (doc_id, h, n_bytes, sha) of all rows; (doc_id, h, text) of those that
-    may have repeats; and (doc_id, h, start, end) byte spans covered by repeated strings."""
+def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2, n, sha) of all rows, and (h1, text, spans) of texts with repeated bytes."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = stage(slim.mapInArrow(_scan(length, parts, False), _SCAN), "repeat-docs")
-    packed = slim.mapInArrow(_scan(length, 4 * parts, True), _SCAN).select("bucket", "kind", "doc_id", "keys").repartition("bucket").sortWithinPartitions("bucket")
-    elsewhere = packed.mapInArrow(_meet, "doc_id long, keys binary")
-    shared = scanned.where("kind = 1").select("doc_id", "keys").union(elsewhere).groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    slim = docs.select(quoted(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), quoted(text_col).cast("string").alias("text"))
+    scanned = stage(slim.mapInArrow(_scan(length, shared_keys.HELD, shared_keys.SLOTS), shared_keys.SCHEMA), "repeat-scan")
+    rows = stage(scanned.where("kind = 0").select("doc_id", "rk", "h1", "h2", "n", "sha"), "repeat-rows")
+    nodes = rows.where(f"doc_id is not null and n >= {length}").groupBy("h1").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"))
+    keys = shared_keys.shared(scanned).groupBy("h1").agg(F.collect_set("key").alias("keys"))
+    keys = stage(keys.join(nodes, "h1"), "repeat-keys")
+    drop_staged(scanned)
     release(spark)
-    texts = stage(slim.join(shared, "doc_id").withColumn("h", F.lit(None).cast("long")), "repeat-texts")
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("h")
-            h = pa.array([_identity(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.int64())
-            yield batch.set_column(at, batch.schema.field(at), h)
-
-    texts = texts.mapInArrow(named, texts.schema)
+    texts = slim.select("rk", "text").join(keys, "rk").dropDuplicates(["rk"])
+    segs = stage(texts.select("h1", "least", "text", "keys").mapInArrow(_segments(length), _SEG), "repeat-segments")
+    drop_staged(keys)
+    release(spark)
+    met, known = segs.where("seg is not null"), segs.where("seg is null")
+    hot = stage(met.groupBy("key").agg(F.count("*").alias("rows")).where(f"rows > {HOT_ROWS}").select("key", F.ceil(F.col("rows") * SEGMENT / HOT_ROWS).cast("int").alias("salts")), "repeat-hot")
+    if not hot.isEmpty():
+        dealt = met.join(hot, "key").select("key", "salts", "doc_id", "node", "start", "seg", "more").mapInArrow(_strings(length), _SEG)
+        dealt = stage(dealt, "repeat-dealt")
+        met, known = met.join(hot, "key", "left_anti").select(*_SEG_ARROW.names).union(dealt.where("seg is not null")), known.union(dealt.where("seg is null"))
+    judged = met.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_judge(length), _SEG)
+    spans = judged.union(known).groupBy("node").agg(F.array_sort(F.collect_set(F.struct(F.col("start"), F.col("key").alias("end")))).alias("spans"))
+    spans = stage(spans.withColumnRenamed("node", "h1").join(nodes.select("h1", "rk"), "h1"), "repeat-spans")
+    drop_staged(segs, hot, *([] if hot.isEmpty() else [dealt]))
     release(spark)
-    segs = stage(texts.mapInArrow(_segments(length, 1 << 30), _SEG), "repeat-segments")
-    met = segs.where("block >= 0").repartition("key").sortWithinPartitions("key")
-    judged = met.mapInArrow(_judge(length), "doc_id long, h long, start long, end long")
-    known = segs.where("block < 0").select("doc_id", "h", "start", F.col("key").alias("end"))
-    return scanned.where("kind = 0"), texts.select("doc_id", "h", "text"), judged.union(known)
+    return rows, slim.select("rk", "text").join(spans, "rk").dropDuplicates(["rk"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row.
 
-    Null text is empty. A null id is smaller than none and larger than none: such a row neither
-    loses bytes nor causes others to. Rows that share an id do not repeat each other. Repeated
-    rows get equal results. Matches never cross documents. Other columns are ignored.
+    Null text is empty; texts may be of any length. A null id is smaller than none and larger than
+    none: such a row neither loses bytes nor causes others to. Texts that share an id do not repeat
+    each other. Repeated rows get equal results. Matches never cross documents. An empty table gives
+    an empty result; other columns are ignored.
     """
-    all_docs, texts, spans = repeated_spans(docs, length, id_col, text_col)
-    by_doc = stage(spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "repeat-spans")
-    release(docs.sparkSession)
-    hit = texts.join(by_doc, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    arrow = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha", pa.string()), ("kept", pa.binary())])
+    rows, hit = _repeats(docs, length, id_col, text_col)
+    arrow = pa.schema([("h1", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha", pa.binary()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in rows_of(batch):
+            for part in rows_of(batch):
                 out = []
-                for r in rows:
-                    raw = (r["text"] or "").encode()
+                for r in part:
+                    raw = r["text"].encode()
                     parts, done, n = [], 0, 0
                     merged: list[list[int]] = []
                     for s in r["spans"]:
@@ -467,10 +461,25 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                         parts.append(raw[done:a])
                         done, n = b, n + b - a
                     kept = b"".join([*parts, raw[done:]])
-                    out.append({"doc_id": r["doc_id"], "h": r["h"], "n_removed": n, "n_spans": len(merged), "kept_sha": hashlib.sha256(kept).hexdigest(), "kept": kept if with_text else None})
+                    out.append({"h1": r["h1"], "n_removed": n, "n_spans": len(merged), "kept_sha": hashlib.sha256(kept).digest(), "kept": kept if with_text else None})
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    done = hit.mapInArrow(run, "doc_id long, h long, n_removed long, n_spans long, kept_sha string, kept binary")
-    out = all_docs.select("doc_id", "h", "n_bytes", "sha").join(done, ["doc_id", "h"], "left")
-    cols = ["doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256")]
-    return out.select(*cols, *(["kept"] if with_text else []))
+    done = hit.select("h1", "text", "spans").mapInArrow(run, "h1 long, n_removed long, n_spans long, kept_sha binary, kept binary")
+    # The other rows of a text go whole; the two hashes together tell texts apart.
+    least = rows.where(f"doc_id is not null and n >= {length}").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    out = rows.join(least, ["h1", "h2"], "left").join(done, "h1", "left")
+    own = F.col("doc_id").isNull() | F.col("least").isNull()
+    copy = ~own & (F.col("doc_id") > F.col("least"))
+    some = ~own & ~copy & F.col("n_removed").isNotNull()
+    empty = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))
+    cols = [
+        "doc_id",
+        F.col("n").alias("n_bytes"),
+        F.when(copy, F.col("n")).when(some, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(copy, 1).when(some, F.col("n_spans")).otherwise(0).cast("long").alias("n_spans"),
+        F.lower(F.hex(F.when(copy, empty).when(some, F.col("kept_sha")).otherwise(F.col("sha")))).alias("kept_sha256"),
+    ]
+    if with_text:
+        # The bytes that stay where some went; null where the text is whole, empty for a copy.
+        cols.append(F.when(copy, F.unhex(F.lit(""))).when(some, F.col("kept")).alias("kept"))
+    return out.select(*cols)

@@ -32,37 +32,56 @@ def hits(windows: DataFrame, targets: DataFrame, k: int, metric: str = "levensht
     if k <= 0:
         return left.join(right, left.observed == right.target_seq).withColumn("distance", F.lit(0))
     distance = (S.hamming_within if metric == "hamming" else S.levenshtein_within)("observed", "target_seq", k)
-    pairs = left.withColumn("key", F.explode(_keys("observed", k, metric))).join(right.withColumn("key", F.explode(_keys("target_seq", k, metric))), "key")
-    return pairs.where(distance.isNotNull()).select("observed", "target_index", "target_seq").distinct().withColumn("distance", distance)
+    # Keys travel as 64-bit hashes; what shares one is compared as text anyway.
+    keyed = lambda df, c: df.withColumn("key", F.explode(_keys(c, k, metric))).withColumn("key", F.xxhash64("key"))
+    pairs = keyed(left, "observed").join(keyed(right, "target_seq"), "key")
+    return pairs.withColumn("distance", distance).where("distance is not null").groupBy("observed", "target_index").agg(F.min("distance").alias("distance"))
 
 
-def finalise(found: DataFrame, by: list[str], policy: str = "best") -> DataFrame:
-    """One row per ``by`` from its hits: best and second distance, counts, lowest target at best."""
-    best = found.groupBy(*by).agg(
-        F.min("distance").alias("best_distance"),
-        F.count("*").alias("match_count"),
-        # distance first, then index: the smallest struct is the reported target
-        F.min(F.struct("distance", "target_index")).alias("__top"),
-        F.count_if(F.col("distance") == 0).alias("__at0"),
-        F.array_sort(F.collect_list("distance")).alias("__all"),
-    )
-    ties = F.size(F.filter("__all", lambda d: d == F.col("best_distance"))).cast("long")
-    second = F.array_min(F.filter("__all", lambda d: d > F.col("best_distance")))
-    many = ties > 1 if policy == "best" else F.col("match_count") > 1
-    return best.select(
-        *by,
-        F.col("__top.target_index").alias("target_index"),
-        "best_distance",
-        F.coalesce(second, F.lit(-1)).alias("second_best_distance"),
-        "match_count",
-        ties.alias("num_best_targets"),
-        F.when(many, "ambiguous").otherwise("unique").alias("status"),
+#: Distances and target indexes are compared as one number; indexes must be under 2 to this.
+_BITS = 48
+
+
+def _merged(found: DataFrame, by: list[str], k: int, *more) -> DataFrame:
+    """One row per ``by`` from its hits, by sums and minima only, which combine before the shuffle.
+
+    Rows without a target (null) make a row of their own, but count as no hit.
+    """
+    near = F.col("target_index").isNotNull()
+    return found.groupBy(*by).agg(
+        F.min(F.when(near, F.shiftleft(F.col("distance").cast("long"), _BITS) + F.col("target_index"))).alias("__top"),
+        *[F.count_if(near & (F.col("distance") == i)).alias(f"__n{i}") for i in range(k + 1)],
+        *more,
     )
 
 
+def _columns(k: int, policy: str) -> dict:
+    """The result columns, from those of :func:`_merged`; null where nothing was near."""
+    n = [F.col(f"__n{i}") for i in range(k + 1)]
+    best = F.shiftright("__top", _BITS).cast("int")
+    ties, second = F.lit(None), F.lit(None)
+    for i in range(k, -1, -1):
+        ties, second = F.when(best == i, n[i]).otherwise(ties), F.when((n[i] > 0) & (best < i), F.lit(i)).otherwise(second)
+    count = sum(n[1:], n[0])
+    many = ties > 1 if policy == "best" else count > 1
+    return {
+        "target_index": F.col("__top").bitwiseAND(F.lit((1 << _BITS) - 1)),
+        "best_distance": best,
+        "second_best_distance": F.coalesce(second, F.lit(-1)),
+        "match_count": count.cast("long"),
+        "num_best_targets": ties.cast("long"),
+        "status": F.when(F.col("__top").isNull(), None).when(many, "ambiguous").otherwise("unique"),
+    }
+
+
+def finalise(found: DataFrame, by: list[str], k: int, policy: str = "best") -> DataFrame:
+    """One row per ``by`` from its hits: best and second distance, counts, lowest target at best."""
+    return _merged(found, by, k).select(*by, *(c.alias(name) for name, c in _columns(k, policy).items()))
+
+
 def assign_windows(windows: DataFrame, targets: DataFrame, k: int, metric: str = "levenshtein", policy: str = "best") -> DataFrame:
     """A row per distinct window that has any target within k."""
-    return finalise(hits(windows, targets, k, metric), ["observed"], policy)
+    return finalise(hits(windows, targets, k, metric), ["observed"], max(0, k), policy)
 
 
 _NONE = {"target_index": -1, "best_distance": -1, "second_best_distance": -1, "match_count": 0, "num_best_targets": 0}
@@ -91,28 +110,79 @@ def windows_of(reads: DataFrame, starts: list[int], lengths: list[int], seq_col:
     return reads.withColumn("windows", F.filter(F.array(*cut), lambda w: w["observed"].isNotNull()))
 
 
-def assign_multi(reads: DataFrame, targets: DataFrame, k: int, starts: list[int], lengths: list[int], metric: str = "levenshtein", policy: str = "best", id_col: str = "read_id", seq_col: str = "seq", match_count: str = "distinct") -> DataFrame:
+def assign_multi(reads: DataFrame, targets: DataFrame, k: int, starts: list[int], lengths: list[int], metric: str = "levenshtein", policy: str = "best", id_col: str = "read_id", seq_col: str = "seq", match_count: str = "distinct", with_window: bool = True) -> DataFrame:
     """Several windows of a read as one: a target counts once, at its smallest distance in any window.
 
     ``match_count="windowed"`` adds to the distinct reported targets each window's further
-    matches, as tools that merge per-window results count them. The observed window is the first
-    (start, then length) that attains the best distance, else the first valid one.
+    matches, as tools that merge per-window results count them. The observed window (left out
+    unless ``with_window``) is the first (start, then length) that attains the best distance, else
+    the first valid one. Reads are cut once and grouped in one pass: first by target, then all.
     """
+    k = max(0, k)
     cut = windows_of(reads.select(id_col, seq_col), starts, lengths, seq_col)
-    flat = cut.select(id_col, F.explode("windows").alias("w")).select(id_col, "w.turn", "w.observed")
-    found = flat.join(hits(flat, targets, k, metric), "observed")
-    each = found.groupBy(id_col, "target_index").agg(F.min("distance").alias("distance"), F.min(F.struct("distance", "turn", "observed")).alias("at"))
-    res = finalise(each.select(id_col, "target_index", "distance"), [id_col], policy)
-    seen = each.groupBy(id_col).agg(F.min("at").alias("at")).select(id_col, F.col("at.observed").alias("observed"))
-    res = res.join(seen, id_col)
+    # A read without window or hit keeps a row, so reads need not be joined back.
+    flat = cut.select(id_col, F.explode_outer("windows").alias("w")).select(id_col, "w.turn", "w.observed")
+    found = flat.join(hits(flat, targets, k, metric), "observed", "left").repartition(id_col)
+    at = [F.min(F.struct(F.coalesce("distance", F.lit(k + 1)).alias("d"), "turn", "observed")).alias("__at")] if with_window else []
+    each = found.groupBy(id_col, "target_index").agg(F.min("distance").alias("distance"), F.min("turn").alias("__turn"), *at)
+    res = _merged(each, [id_col], k, F.min("__turn").alias("__turn"), *([F.min("__at").alias("__at")] if with_window else []))
+    out = res.select(id_col, "__turn", *([F.col("__at.observed").alias("observed")] if with_window else []), *(c.alias(name) for name, c in _columns(k, policy).items()))
     if match_count == "windowed":
-        per = finalise(found.select(id_col, "turn", "target_index", "distance"), [id_col, "turn"], policy)
+        per = finalise(found.where("target_index is not null"), [id_col, "turn"], k, policy)
         more = per.groupBy(id_col).agg((F.count_distinct("target_index") + F.sum(F.col("match_count") - 1)).alias("__n"))
-        res = res.join(more, id_col).withColumn("match_count", F.col("__n")).drop("__n")
-    first = cut.select(id_col, F.size("windows").alias("n_windows"), F.get("windows", F.lit(0))["observed"].alias("first_window"))
-    out = first.join(res, id_col, "left")
-    out = _filled(out, F.col("n_windows") > 0).withColumn("observed", F.coalesce("observed", "first_window"))
-    return out.drop("n_windows", "first_window")
+        out = out.join(more, id_col, "left").withColumn("match_count", F.col("__n")).drop("__n")
+    return _filled(out, F.col("__turn").isNotNull()).drop("__turn")
+
+
+def assign_length_set(reads: DataFrame, targets: DataFrame, k: int, start: int, lengths: list[int], metric: str = "levenshtein", policy: str = "best", id_col: str = "read_id", seq_col: str = "seq", indel: int = 0) -> DataFrame:
+    """One window a length, in order, folded to one result: for barcodes of several lengths.
+
+    A nearer result replaces what was found so far; one as near with another target (or ambiguous
+    itself) makes it ambiguous, with the lower target and both counts; a farther one that is the
+    second best so far adds its count. With ``indel`` each length's window is itself the merge of
+    the windows up to that much shorter and longer.
+    """
+    k = max(0, k)
+    if indel:
+        each = [assign_multi(reads, targets, k, [start], [m for m in range(n - indel, n + indel + 1) if m > 0], metric, policy, id_col, seq_col, with_window=False).withColumn("turn", F.lit(i)) for i, n in enumerate(lengths)]
+        flat = each[0]
+        for x in each[1:]:
+            flat = flat.unionByName(x)
+    else:
+        cut = reads.select(id_col, F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), S.window(seq_col, start, n).alias("observed")) for i, n in enumerate(lengths)])).alias("w")).select(id_col, "w.turn", "w.observed")
+        flat = _filled(cut.join(assign_windows(cut, targets, k, metric, policy), "observed", "left"), F.col("observed").isNotNull())
+    names = ["target_index", "best_distance", "second_best_distance", "match_count", "status"]
+    kinds = dict(flat.dtypes)
+    rows = flat.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("turn", *names))).alias("rows"))  # one a length
+    none = F.struct(*[F.lit(v).cast(kinds[n]).alias(n) for n, v in zip(names, (-1, -1, -1, 0, "invalid"), strict=True)])
+
+    def fold(b, r):
+        plain = F.struct(*[r[n].alias(n) for n in names])
+        first = (b["match_count"] == 0) | (r["best_distance"] < b["best_distance"])
+        other = (r["target_index"] != b["target_index"]) | (r["status"] == "ambiguous") | (b["status"] == "ambiguous")
+        tie = F.struct(F.least(b["target_index"], r["target_index"]).alias("target_index"), b["best_distance"].alias("best_distance"), b["second_best_distance"].alias("second_best_distance"), (b["match_count"] + r["match_count"]).alias("match_count"), F.lit("ambiguous").alias("status"))
+        second = (b["second_best_distance"] < 0) | (r["best_distance"] < b["second_best_distance"])
+        far = F.struct(b["target_index"].alias("target_index"), b["best_distance"].alias("best_distance"), r["best_distance"].alias("second_best_distance"), (b["match_count"] + r["match_count"]).alias("match_count"), b["status"].alias("status"))
+        return (
+            F.when(r["status"] == "invalid", b)
+            .when(r["match_count"] == 0, F.when(b["status"] == "invalid", plain).otherwise(b))
+            .when(first, plain)
+            .when(r["best_distance"] == b["best_distance"], F.when(other, tie).otherwise(b))
+            .otherwise(F.when(second, far).otherwise(b))
+        )
+
+    return rows.select(id_col, F.aggregate("rows", none, fold).alias("r")).select(id_col, *[F.col(f"r.{n}").alias(n) for n in names])
+
+
+def validate(reads: DataFrame, targets: DataFrame, k: int, start: int, length: int, metric: str = "levenshtein", policy: str = "best") -> DataFrame:
+    """One row: distinct windows of the reads, and how many of them the join and the scan of all targets
+    settle differently in any of target, distances, count and status (none should). For samples of reads."""
+    names = ["target_index", "best_distance", "second_best_distance", "match_count", "status"]
+    cut = reads.select(S.window("seq", start, length).alias("observed")).where("observed is not null").distinct()
+    fast = assign_windows(cut, targets, k, metric, policy).select("observed", F.struct(*names).alias("fast"))
+    scan = assign_exhaustive(cut, targets, k, metric, policy).select("observed", F.struct(*names).alias("scan"))
+    both = cut.join(fast, "observed", "left").join(scan, "observed", "left")
+    return both.agg(F.count("*").alias("windows"), F.count("fast").alias("matched"), F.count_if(~F.col("fast").eqNullSafe(F.col("scan"))).alias("mismatches"))
 
 
 def assign_exhaustive(reads: DataFrame, targets: DataFrame, k: int, metric: str = "levenshtein", policy: str = "best") -> DataFrame:
@@ -120,7 +190,7 @@ def assign_exhaustive(reads: DataFrame, targets: DataFrame, k: int, metric: str
     left = reads.select(F.col("observed")).where("observed is not null").distinct()
     right = targets.select("target_index", F.col("seq").alias("target_seq"))
     d = (S.hamming_within if metric == "hamming" else S.levenshtein_within)("observed", "target_seq", k)
-    return finalise(left.crossJoin(right).withColumn("distance", d).where("distance is not null"), ["observed"], policy)
+    return finalise(left.crossJoin(right).withColumn("distance", d).where("distance is not null"), ["observed"], k, policy)
 
 
 def nearest(windows: DataFrame, targets: DataFrame, col: str = "observed") -> DataFrame:

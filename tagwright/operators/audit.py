@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from .lineage import cut
 
 
 def close_pairs(targets: DataFrame, k: int) -> DataFrame:
@@ -30,33 +31,55 @@ def all_pairs(targets: DataFrame, k: int) -> DataFrame:
     return close_pairs(targets, max(2, 2 * k))
 
 
-def safety(targets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each target's nearest neighbour among the pairs, and whether one or two edits are safe."""
+#: Edits that pairs must have been searched to before one (two) edits can be called safe: fixed values.
+SAFE = {"safe_at_k1": 2, "safe_at_k2": 4}
+
+
+def safety(targets: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
+    """Each target's nearest neighbour, and whether one or two edits are safe.
+
+    ``pairs`` are all pairs within ``within`` edits. A target none of whose neighbours is that near
+    has a null distance, and what the pairs cannot tell is ``not_computed``: two edits are judged
+    from pairs within four (or any pair that is nearer).
+    """
     ends = pairs.select(F.col("i").alias("target_index"), F.struct("distance", F.col("j").alias("n")).alias("s")).union(pairs.select("j", F.struct("distance", F.col("i").alias("n"))))
-    near = ends.groupBy("target_index").agg(F.min("s").alias("s")).select("target_index", F.col("s.distance").alias("nearest_distance"), F.col("s.n").alias("nearest_index"))
+    near = ends.groupBy("target_index").agg(F.min("s").alias("s"), F.count_if(F.col("s.distance") <= 2).alias("near")).select("target_index", F.col("s.distance").alias("nearest_distance"), F.col("s.n").alias("nearest_index"), "near")
     out = targets.select("target_index", "target_id").join(near, "target_index", "left")
-    safe = lambda d: F.when(F.coalesce(F.col("nearest_distance") >= d, F.lit(True)), "yes").otherwise("no")
-    return out.withColumn("safe_at_k1", safe(3)).withColumn("safe_at_k2", safe(5))
+    d = F.col("nearest_distance")
+    for name, reach in SAFE.items():
+        out = out.withColumn(name, F.when(d <= reach, "no").otherwise("yes" if within >= reach else "not_computed"))
+    return out.withColumn("num_nearby_k1_risk_targets", F.coalesce("near", F.lit(0)).cast("long")).drop("near")
+
+
+def nearest_pairs(targets: DataFrame) -> DataFrame:
+    """(target_index, nearest_distance, nearest_index) at whatever distance: the pairs within four edits
+    settle nearly all targets of a dense library; each other one is held against the whole library
+    with its distance bounded by the length, so this is for audits that ask for it.
+    """
+    near = safety(targets, close_pairs(targets, 4), 4)
+    done = near.where("nearest_distance is not null").select("target_index", "nearest_distance", "nearest_index")
+    far = targets.join(done, "target_index", "left_anti").select(F.col("target_index").alias("x"), F.col("seq").alias("a"))
+    pairs = far.join(targets.select(F.col("target_index").alias("y"), F.col("seq").alias("b")), F.col("x") != F.col("y"))
+    rest = pairs.select("x", F.struct(F.levenshtein("a", "b").alias("distance"), F.col("y").alias("n")).alias("s")).groupBy("x").agg(F.min("s").alias("s"))
+    return done.union(rest.select("x", "s.distance", "s.n"))
 
 
 def clusters(pairs: DataFrame, within: int = 2) -> DataFrame:
     """(target_index, cluster): components of pairs within the distance; a cluster's id is its least index.
 
-    Least-label propagation with pointer jumping; ends after as many rounds as the labels move.
+    Least-label propagation with pointer jumping until no label moves. Each round is written to the
+    checkpoint folder, so that neither plan nor lineage grows.
     """
     p = pairs.where(F.col("distance") <= within)
-    edges = p.select(F.col("i").alias("u"), F.col("j").alias("v")).union(p.select("j", "i")).distinct().cache()
-    labels = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")).withColumnRenamed("u", "t")
-    for _ in range(64):
+    edges = cut(p.select(F.col("i").alias("u"), F.col("j").alias("v")).union(p.select("j", "i")).distinct())
+    state = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("t"), F.least("u", "m").alias("next"), F.lit(True).alias("moved")))
+    while not state.where("moved").isEmpty():
+        labels = state.select("t", F.col("next").alias("c"))
         near = edges.join(labels.select(F.col("t").alias("v"), F.col("c").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
         hop = labels.join(near, labels.t == near.u).select("t", "c", F.least("c", "n").alias("b"))
         far = labels.select(F.col("t").alias("b"), F.col("c").alias("f"))
-        new = hop.join(far, "b").select("t", F.least("b", "f").alias("next"), "c").cache()
-        moved = new.where("next <> c").limit(1).count()
-        labels = new.select("t", F.col("next").alias("c"))
-        if not moved:
-            break
-    return labels.select(F.col("t").alias("target_index"), F.col("c").alias("cluster"))
+        state = cut(hop.join(far, "b").select("t", F.least("b", "f").alias("next"), (F.least("b", "f") != F.col("c")).alias("moved")))
+    return state.select(F.col("t").alias("target_index"), F.col("next").alias("cluster"))
 
 
 def ambiguous_variants(targets: DataFrame, k: int = 1) -> DataFrame:

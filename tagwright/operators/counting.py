@@ -125,10 +125,14 @@ def ambiguous_nearby(targets: DataFrame, k: int, metric: str = "levenshtein") ->
     )
 
 
-def assign_pairs(reads: DataFrame, left: DataFrame, right: DataFrame, left_window: tuple[int, int], right_window: tuple[int, int], k: int, metric: str = "levenshtein", id_col: str = "read_id") -> DataFrame:
-    """Both windows' results and the pair's: invalid before ambiguous before none; unique if both are."""
+def assign_pairs(reads: DataFrame, left: DataFrame, right: DataFrame, left_window: tuple[int, int], right_window: tuple[int, int], k: int | tuple[int, int], metric: str = "levenshtein", id_col: str = "read_id") -> DataFrame:
+    """Both windows' results and the pair's: invalid before ambiguous before none; unique if both are.
+
+    ``k`` is one radius for both sides or one for each.
+    """
+    ks = (k, k) if isinstance(k, int) else k
     out = reads.select(id_col, *(c for c in ("sample",) if c in reads.columns), "seq")
-    for side, targets, (start, length) in (("left", left, left_window), ("right", right, right_window)):
+    for side, targets, (start, length), k in (("left", left, left_window, ks[0]), ("right", right, right_window, ks[1])):
         cut = out.withColumn("observed", S.window("seq", start, length))
         res = A._filled(cut.join(A.assign_windows(cut, targets, k, metric), "observed", "left"), F.col("observed").isNotNull())
         out = res.select(*out.columns, F.col("status").alias(f"{side}_status"), F.col("target_index").alias(f"{side}_index"))
@@ -231,15 +235,28 @@ def library_report(targets: DataFrame, k: int = 1) -> DataFrame:
     return out.crossJoin(pairs)
 
 
-#: Rules of a count run's review: name, metric, bound, and whether more or less than it is bad.
+#: Rules of a count run's review: name, metric, bound, and whether more or less than it is bad: fixed values.
 CRISPR_RULES = (
     ("low_assignment_rate", "assignment_rate", 0.80, "low"),
     ("high_ambiguous_rate", "ambiguous_rate", 0.05, "high"),
     ("high_no_match_rate", "no_match_rate", 0.15, "high"),
     ("high_invalid_rate", "invalid_rate", 0.02, "high"),
-    ("low_coverage", "coverage_fraction", 0.90, "low"),
-    ("high_gini", "gini_index", 0.60, "high"),
+    ("low_guide_coverage", "coverage_fraction", 0.90, "low"),
+    ("high_zero_count_fraction", "zero_count_fraction", 0.10, "high"),
+    ("high_gini_index", "gini_index", 0.50, "high"),
+    ("high_top_1pct_fraction", "top_1pct_fraction", 0.30, "high"),
 )
+#: Least Pearson correlation of log2(count + 1) between two samples: a fixed value.
+PEARSON_MIN = 0.80
+
+
+def review_metrics(long: DataFrame, qc: DataFrame | None = None) -> DataFrame:
+    """By sample: the count matrix's metrics and, if there is a table of read metrics, its rates."""
+    m = matrix_metrics(long)
+    if qc is None:
+        return m
+    rates = qc.select("sample", "assignment_rate", "ambiguous_rate", "no_match_rate", F.when(F.col("total_reads") > 0, F.col("invalid_reads") / F.col("total_reads")).otherwise(0.0).alias("invalid_rate"))
+    return m.join(rates, "sample", "left")
 
 
 def warnings(metrics: DataFrame, rules: tuple = CRISPR_RULES) -> DataFrame:
@@ -249,6 +266,48 @@ def warnings(metrics: DataFrame, rules: tuple = CRISPR_RULES) -> DataFrame:
     return metrics.select("sample", w.alias("warnings")).withColumn("qc_status", F.when(F.size("warnings") > 0, "review").otherwise("pass"))
 
 
+def crispr_review(long: DataFrame, qc: DataFrame | None = None, library: DataFrame | None = None, k: int = 1) -> DataFrame:
+    """(scope, code) of everything that a review of a count run finds; none means that it passes."""
+    spark = long.sparkSession
+    if "sgRNA" not in long.columns:
+        long = long.withColumnRenamed("target_id", "sgRNA")
+    out = warnings(review_metrics(long, qc)).select(F.col("sample").alias("scope"), F.explode("warnings").alias("code"))
+    low = pearson(long).where(F.col("pearson") < PEARSON_MIN).select(F.concat_ws(":", "sample_a", "sample_b"), F.lit("low_pairwise_sample_correlation"))
+    out = out.union(low)
+    said = [("inputs", "sample_qc_not_provided")] if qc is None else []
+    if library is None:
+        said.append(("inputs", "library_not_provided"))
+    elif k > 1:
+        said.append(("library", "library_collision_audit_radius"))
+    if said:
+        out = out.union(spark.createDataFrame(said, "scope string, code string"))
+    if library is not None:
+        r = library_report(library, k)
+        found = F.array(F.when(F.col("one_edit_collision_pairs") > 0, F.lit("guide_collision")), F.when(F.col("non_acgt_sequences") > 0, F.lit("non_acgt_guides")))
+        out = out.union(r.select(F.lit("library"), F.explode(F.filter(found, lambda x: x.isNotNull()))))
+    return out
+
+
+#: Findings on a demultiplexed run (name, share of all reads, bound, side): fixed values.
+FINDINGS = (
+    ("low_assignment_rate", "assigned_reads", 0.80, "low"),
+    ("high_ambiguity_rate", "ambiguous_reads", 0.05, "high"),
+    ("high_no_match_rate", "no_match_reads", 0.15, "high"),
+    ("high_invalid_window_rate", "invalid_reads", 0.02, "high"),
+)
+
+
+def findings(summary: DataFrame, audit: DataFrame, weak_window: bool = False) -> DataFrame:
+    """(finding, severity) from a run's one-row summary and its library's one-row audit."""
+    t = F.col("total_reads")
+    share = [F.when((t > 0) & (F.col(c) / t < b if side == "low" else F.col(c) / t > b), F.lit(name)) for name, c, b, side in FINDINGS]
+    unsafe = F.when((F.col("risk_pairs") > 0) | (F.col("safe_at_k1") == "no"), F.lit("unsafe_one_edit_correction"))
+    both = summary.crossJoin(audit.select("risk_pairs", "safe_at_k1"))  # a row each
+    all_ = F.filter(F.array(F.lit("low_confidence_offset" if weak_window else None).cast("string"), *share, unsafe), lambda x: x.isNotNull())
+    named = both.select(F.explode(F.when(F.size(all_) > 0, all_).otherwise(F.array(F.lit("no_review_findings")))).alias("finding"))
+    return named.withColumn("severity", F.when(F.col("finding") == "no_review_findings", "pass").otherwise("review"))
+
+
 def failure_reason(total="total_reads", assigned="assigned_reads", ambiguous="ambiguous_reads", unmatched="no_match_reads", invalid="invalid_reads"):
     """The first threshold that a sample fails, else clean or review."""
     t = F.col(total)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tagwright.llm import bpe, common, decontaminate, exact_dedup, gbt, html_extract, lang_id, ngram_join, pii, quality, suffix_dedup, warc
+from tagwright.llm import bpe, common, decontaminate, exact_dedup, gbt, html_extract, lang_id, ngram_join, pii, quality, shared_keys, suffix_dedup, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, h long, key long, node long, norm string"
@@ -198,7 +198,7 @@ def test_jaccard_small_tiles(spark, monkeypatch):
 def test_jaccard_across_windows(spark, monkeypatch):
     """Edits of one text that link with that text only, all their shared keys hot, in several windows, blobs and tiles."""
     for name, value in (("HELD", 100), ("SLOTS", 3), ("SLOT_KEYS", 40), ("TILE_ROWS", 3), ("TILE_PAIRS", 2)):
-        monkeypatch.setattr(ngram_join, name, value)
+        monkeypatch.setattr(ngram_join if name.startswith("TILE") else shared_keys, name, value)
     w = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*w[: 5 + 2 * i], f"new{i}", *w[6 + 2 * i :]])) for i in range(24)] + [(99, " ".join(w))]
     rows += [(200 + i, " ".join([*w[:20], *prose(40, 50 + i).split()])) for i in range(12)]
@@ -208,7 +208,7 @@ def test_jaccard_across_windows(spark, monkeypatch):
 
 def test_jaccard_near_copy_of_a_hot_text(spark, monkeypatch):
     """One near copy beside many exact copies, a window for each text."""
-    monkeypatch.setattr(ngram_join, "HELD", 8)
+    monkeypatch.setattr(shared_keys, "HELD", 8)
     w = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(w)) for i in range(1, 41)] + [(99, " ".join([*w[:20], "new", *w[21:]])), (100, prose(60, 5))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows).coalesce(1)).collect()}

@@ -132,14 +132,108 @@ def test_counts(spark):
     assert abs(gini - 2 / 3) < 1e-9
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_safety_knows_its_reach(spark):
+    t = lib(spark, ("AAAAAAAA", "CCCAAAAA", "GGGGGGGG"))
+    near = {r.target_index: (r.nearest_distance, r.safe_at_k1, r.safe_at_k2) for r in audit.safety(t, audit.all_pairs(t, 1), 2).collect()}
+    assert near[0] == near[1] == (None, "yes", "not_computed")
+    far = {r.target_index: (r.nearest_distance, r.safe_at_k1, r.safe_at_k2) for r in audit.safety(t, audit.all_pairs(t, 2), 4).collect()}
+    assert far == {0: (3, "yes", "no"), 1: (3, "yes", "no"), 2: (None, "yes", "yes")}
+    chain = lib(spark, tuple("A" * i + "C" * (40 - i) for i in range(0, 40, 2)))
+    assert {r.cluster for r in audit.clusters(audit.close_pairs(chain, 2)).collect()} == {0}
+
+
+def _window(targets, o, k):
+    """(target, best, second, count, status) of one window by comparing it with every target."""
+    if o is None:
+        return -1, -1, -1, 0, "invalid"
+    d = {i: e for i, t in enumerate(targets) if (e := _edits(o, t)) <= k}
+    if not d:
+        return -1, -1, -1, 0, "none"
+    best = min(d.values())
+    ties = [i for i, e in d.items() if e == best]
+    return min(ties), best, min((e for e in d.values() if e > best), default=-1), len(d), "ambiguous" if len(ties) > 1 else "unique"
+
+
+def test_length_set(spark):
+    rng = random.Random(6)
+    targets = tuple("".join(rng.choice("ACGT") for _ in range(n)) for n in (4, 4, 4, 5, 5, 6, 6) for _ in range(3))
+    seqs = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(3, 10))) for _ in range(120)] + [t + "ACG" for t in targets]
+    lengths = sorted({len(t) for t in targets})
+    got = {r.read_id: tuple(r)[1:] for r in A.assign_length_set(reads(spark, seqs), lib(spark, targets), 1, 0, lengths).collect()}
+    for i, s in enumerate(seqs):
+        now = (-1, -1, -1, 0, "invalid")
+        for n in lengths:
+            t, b, x, c, st = one_ = _window(targets, s[:n] if len(s) >= n else None, 1)
+            if st == "invalid":
+                continue
+            if not c:
+                now = one_ if now[4] == "invalid" else now
+            elif not now[3] or b < now[1]:
+                now = one_
+            elif b == now[1]:
+                if t != now[0] or "ambiguous" in (st, now[4]):
+                    now = (min(t, now[0]), b, now[2], now[3] + c, "ambiguous")
+            elif now[2] < 0 or b < now[2]:
+                now = (now[0], now[1], b, now[3] + c, now[4])
+        assert got[i] == now, (s, got[i], now)
+
+
+def test_validate_and_examples(spark):
+    r, t = reads(spark, ["ACGT", "ACGA", "GGGG", "ACNT", "AC"]), lib(spark)
+    assert tuple(A.validate(r, t, 1, 0, 4).first()) == (4, 3, 0)
+
+
 def test_panel(spark):
     p = lib(spark, ("ACGTACGT", "TGCATGCA", "GATCGATC"))
-    assert panel.certificate(p, 1, "hamming")["status"] in ("pass", "warn", "fail")
+    summary, tables_ = panel.certificate(p, 1, "hamming")
+    ham = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    seqs = ("ACGTACGT", "TGCATGCA", "GATCGATC")
+    pairs = [(a, b) for i, a in enumerate(seqs) for b in seqs[:i]]
+    # Each is its own reverse complement, so the content rules fail; no variant is at risk.
+    assert (summary["status"], summary["panel_grade"], summary["content_failures"]) == ("fail", "D", 3)
+    assert summary["minimum_hamming_distance"] == min(ham(*x) for x in pairs) and summary["minimum_levenshtein_distance"] == min(_edits(*x) for x in pairs)
+    assert summary["safe_for_k0"] and summary["unsafe_configured_radius_variants"] == 0 and tables_["target_safety"].count() == 3
+    close = panel.certificate(lib(spark, ("AACCGGTTAC", "AACCGGTTAG")), 1)[0]
+    assert (close["status"], close["panel_grade"], close["minimum_hamming_distance"]) == ("fail", "F", 1) and close["ambiguous_error_spheres"] > 0
+    prefix = panel.certificate(lib(spark, ("ACCTGATGCA", "ACCTGATG")), 0)[0]
+    assert (prefix["panel_grade"], prefix["prefix_collisions"]) == ("F", 1)
     with pytest.raises(ValueError):
         panel.certificate(p, 3)
-    got = panel.design(spark, panel.Design(length=8, count=5, pool=600))
-    assert len(got) == 5 and all(panel._distance(a, b) >= 3 for i, a in enumerate(got) for b in got[:i])
+    rules = panel.Constraints(min_hamming=4, min_levenshtein=3, min_sequence_levenshtein=3, cycle_balance=False)
+    for engine in ("greedy", "graph", "evolve"):
+        got = panel.design(spark, panel.Design(length=10, count=6, pool=1500, engine=engine, iterations=20, constraints=rules))
+        assert len(set(got)) == 6 and all(_edits(a, b) >= 3 and ham(a, b) >= 4 and a != panel._turned(b) for i, a in enumerate(got) for b in got[:i])
+    done = panel.certificate(lib(spark, tuple(got)), 1, "hamming", rules)[0]
+    assert done["status"] in ("pass", "warn") and done["panel_grade"] in ("A", "A+", "B") and done["safe_for_k1_hamming"]
+    with pytest.raises(ValueError, match="could only choose"):
+        panel.design(spark, panel.Design(length=6, count=500, pool=300, constraints=rules))
+    assert panel.preset("illumina-inline-96").constraints.min_hamming == 4 and set(panel.optimize(lib(spark, tuple(got)), panel.Design(count=4, constraints=rules))) < set(got)
     sim = panel.simulate(p, 200, 0.02, 0.01, 0.01, 1)
     assert sim.count() == 200 and panel.recall_precision(panel.confusion(sim)).count() == 3
+    s = panel.simulation_summary(sim).first()
+    assert s.total_reads == 200 == s.unique + s.ambiguous + s.none + s.invalid and s.false_assignment == 0
+    exact = panel.simulate(p, 50, 0.0, 0.0, 0.0, 1)
+    assert panel.recall_precision(panel.confusion(exact)).where("recall < 1 or precision < 1").count() == 0
+    assert panel.examples(sim, "none", 3).count() <= 3
     assert panel.dual(["a", "b", "c", "d"], 2) == [("a", "b"), ("c", "d")]
-    assert len(panel.layout(["a", "b"], ["ACGT", "TTTT"])) == 2
+    placed = panel.layout(["a", "b", "c"], ["ACGT", "ACGA", "TTTT"], 24)
+    assert [x[:2] for x in placed] == [("A1", "a"), ("A2", "c"), ("A3", "b")]
+    assert panel.plate_neighbours(placed) == [("A1", "A2", "a", "c", 3), ("A2", "A3", "c", "b", 4)]
+    with pytest.raises(ValueError):
+        panel.layout(["x"] * 25, ["ACGT"] * 25, 24)
+
+
+def test_confusable_signals(spark):
+    rows = [(i, f"s{i}", [float(i), float(i * i)]) for i in range(6)]
+    df = spark.createDataFrame(rows, "target_index long, target_id string, signal array<double>")
+    want = sorted((abs(i - j) + abs(i * i - j * j), f"s{i}", f"s{j}") for i in range(6) for j in range(i + 1, 6))[:4]
+    assert [(r.signal_distance, r.barcode_id, r.other_id) for r in panel.confusable_signals(df, 4).collect()] == want

@@ -27,6 +27,54 @@ def test_fastq(spark, tmp_path):
         fastq.read_fastq(spark, str(tmp_path / "bad.fastq")).collect()
 
 
+def test_fastq_columns(spark, tmp_path):
+    with gzip.open(tmp_path / "b.fastq.gz", "wt") as f:
+        f.write(FQ)
+    (tmp_path / "a.fastq").write_text(FQ.replace("ACGTAA", "acgtaa").replace("IIIIII", "III", 1))
+    seqs = fastq.read_fastq(spark, str(tmp_path), columns=["seq"], plain=True)
+    assert seqs.columns == ["seq"] and sorted(r.seq for r in seqs.collect()) == ["ACGTAA"] * 2 + ["GGGGAA"] * 2 + ["TTTTAA"] * 2
+    fastq.register(spark)
+    one = spark.read.format("fastq").load(str(tmp_path / "b.fastq.gz"))
+    assert {(r.ordinal, r.read_id) for r in one.select("ordinal", "read_id").collect()} == {(0, "r1"), (1, "r2"), (2, "r3")}
+
+
+def _write(path, seqs):
+    path.write_text("".join(f"@r{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(seqs)))
+
+
+def test_assay_modes(spark, tmp_path):
+    """Each sample's own offset, indel windows, and pairs."""
+    (tmp_path / "t.tsv").write_text("id\tseq\na\tACGTAC\nb\tTTGGCC\n")
+    _write(tmp_path / "s1.fastq", ["GACGTACTT", "GTTGGCCTT"])
+    _write(tmp_path / "s2.fastq", ["GGGACGTACT", "GGGACGTACA"])
+    _write(tmp_path / "s3.fastq", ["CCACGTC", "CCTTGGGCCA"])
+    base = {"targets": str(tmp_path / "t.tsv"), "length": 6}
+    spec = assay.Spec(samples=[("S1", str(tmp_path / "s1.fastq")), ("S2", str(tmp_path / "s2.fastq"))], start=2, auto_offset=2, k=0, **base)
+    got = {(r.sample, r.target_id): r["count"] for r in assay.run(spark, spec)["counts_long"].collect()}
+    assert got == {("S1", "a"): 1, ("S1", "b"): 1, ("S2", "a"): 2, ("S2", "b"): 0}
+    spec = assay.Spec(samples=[("S3", str(tmp_path / "s3.fastq"))], start=2, indel_window=1, **base)
+    row = {r.target_id: (r.count_deletion, r.count_insertion) for r in assay.run(spark, spec)["counts_long"].collect()}
+    assert row == {"a": (1, 0), "b": (0, 1)}
+    _write(tmp_path / "p.fastq", ["ACGTACTTGGCC", "ACGTACACGTAC", "ACGTACGGGGGG", "ACG"])
+    pair = assay.Spec(mode="pair-count", samples=[("P", str(tmp_path / "p.fastq"))], right_targets=base["targets"], right_start=6, right_length=6, k=0, **base)
+    res = assay.run(spark, pair)
+    assert {(r.left_index, r.right_index, r["count"]) for r in res["pair_counts"].collect()} == {(0, 1, 1), (0, 0, 1)}
+    assert res["pair_summary"].first().invalid == 1
+    assert "pair-count needs" in " ".join(assay.Spec(mode="pair-count", samples=[("P", "x")], **base).problems())
+
+
+def test_barcode_autopsy(spark):
+    from tagwright.sources import tables as T
+
+    t = T.targets_from(spark, [(0, "a", "ACGTAC", ""), (1, "b", "TTGGCC", "")])
+    seqs = ["GG" + s for s in ("ACGTACT", "TTGGCCA", "ACGTACG", "CCCCCCC")]
+    reads = spark.createDataFrame([(i, "S", s, "I" * len(s), i) for i, s in enumerate(seqs)], "read_id long, sample string, seq string, qual string, ordinal long")
+    out = assay.barcode_autopsy(reads, t, [0, 1, 2, 3])
+    assert out["offset_scan"].first().start == 2 and out["summary"].first().assigned_reads == 3
+    assert {r.finding for r in out["findings"].collect()} >= {"low_assignment_rate", "high_no_match_rate"}
+    assert out["top_unmatched"].first().sequence == "CCCCCC"
+
+
 def test_tables():
     assert tables.parse_targets(["# c", "id,gRNA.sequence,Gene", "a,acgt,G1"]) == [(0, "a", "ACGT", "G1")]
     assert tables.parse_targets(["sgRNAID\tSeq\tgene", "a\tAC\tg"]) == [(0, "a", "AC", "g")]
