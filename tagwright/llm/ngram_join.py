@@ -9,17 +9,16 @@ component of links) of every document is found exactly, without all pairs. Equal
    than ``k`` occur in another set can have no link and goes no further. No counts are kept that
    grow with the corpus, nothing is broadcast.
 2. *Prefix keys.* Of what is left, keys are ordered rarest first, with exact counts. As linked
-   documents share ``k`` keys, they share one of the first ``m - k + 1`` of each. Of keys that have
-   the same documents one is enough.
+   documents share ``k`` keys, they share one of the first ``m - k + 1`` of each. Keys with equal
+   least hash of their documents (the likelier the more alike these are) make one group, so that two
+   documents meet in few groups and not for each key of theirs.
 3. *Hubs.* A key's hub is its document with the fewest keys of its own (the likeliest original).
-   Each document is compared with the best hub of its keys, so a large class costs a pair a document.
-4. *Tiles.* Documents of one hub, and of hubs that share a key, form a group (a key with many hubs
-   by itself), so that two documents meet once and not for each key of theirs. Groups whose documents
-   are then in several components are cut into tiles by size band; tiles of the same or neighbouring
-   bands compare bitmaps, whose bit counts bound the overlap from above. Each component's likeliest
-   pairs are verified first; a tile that holds pairs back says so, and further turns take more, until
-   no pair across two components is left untried. A group's largest component, which is settled
-   within itself, meets the tiles of the other documents only.
+   Each document is compared with the best hub of its groups, so a large class costs a pair a document.
+4. *Tiles.* Groups whose documents are then in several components are cut into tiles by size band;
+   tiles of the same or neighbouring bands compare bitmaps, whose bit counts bound the overlap from
+   above. Each component's likeliest pairs are verified first; a tile that holds pairs back says so,
+   and further turns take more, until no pair across two components is left untried. A group's largest
+   component, which is settled within itself, meets the tiles of the other documents only.
 
 Candidates are verified by intersecting sorted arrays of 64-bit shingle hashes.
 """
@@ -37,12 +36,15 @@ from pyspark.sql import functions as F
 from . import shared_keys
 from .common import components, drop_staged, quoted, release, row_key, rows_of, stage, take_rows
 
+#: Keys that linked sets are to have in common, if their sizes allow it: sets of up to 60 shingles
+#: send all they have, so that one line that many short documents share makes no candidates of them.
+MIN_COMMON = 48
 #: Members that a hub is compared with in one task; documents of one tile.
-HUB_ROWS, TILE_ROWS = 500, 512
+HUB_ROWS, TILE_ROWS = 500, 2048
+#: Bytes of a tile's bitmaps; pairs that a tile holds before it drops those that cannot be among the likeliest.
+TILE_BYTES, HELD_PAIRS = 1 << 24, 1 << 20
 #: Pairs that a tile sends to verification for one component in the first turn; each turn takes MORE times as many.
 TILE_PAIRS, MORE = 16, 8
-#: Hubs whose documents are taken together where they share a key; a key of more is taken by itself.
-HOMES = 8
 #: Bits of the largest bitmap; smaller sets have four to eight a shingle.
 MAX_BITS = 1 << 17
 #: Bytes of text that are hashed at once, and the length from which a word is hashed by itself.
@@ -173,7 +175,8 @@ def _own(n: int, num: int, den: int) -> int:
 
 def _common(n: int, num: int, den: int) -> int:
     """Keys that sets of n shingles or more have in common when linked; n + 1 give no fewer."""
-    return max(1, min(_own(n, num, den), n - _own(n, num, den)))
+    own = _own(n, num, den)
+    return max(1, min(max(own, MIN_COMMON), n - own))
 
 
 def _needed(n: Column, num: int, den: int) -> Column:
@@ -181,7 +184,7 @@ def _needed(n: Column, num: int, den: int) -> Column:
     as keys are cut to 48 bits and two of one document may fall together."""
     low = F.expr(f"({num}L * n + {den - 1}) div {den}")
     own = F.floor(low * (den - num) / den)
-    k = F.greatest(F.lit(1), F.least(own, low - own))
+    k = F.greatest(F.lit(1), F.least(F.greatest(own, F.lit(MIN_COMMON)), low - own))
     return F.when(k >= 8, k - 1).otherwise(k).cast("int")
 
 
@@ -271,7 +274,13 @@ def _compare_tiles(num: int, den: int, most: int):
         maps = [np.stack([_fold(r[4], size) for r in side]) for side in (left, right)]
         maps = [m.view(_U) for m in maps]
         node, comp, n = ([np.array([r[c] for r in side], np.int64) for side in (left, right)] for c in (1, 2, 3))
-        found_i, found_j, scores = [], [], []
+        found_i, found_j, scores, held, dropped = [], [], [], 0, False
+
+        def likeliest() -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+            i, j, score = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(scores)
+            pick = _best(comp[0][i], score, most) | _best(comp[1][j], score, most)
+            return i[pick], j[pick], score[pick], not pick.all()
+
         for i in range(len(left)):
             ok = comp[1] != comp[0][i]
             ok &= den * np.minimum(n[1], n[0][i]) >= num * np.maximum(n[1], n[0][i])
@@ -290,12 +299,15 @@ def _compare_tiles(num: int, den: int, most: int):
                 found_i.append(np.full(pick.sum(), i))
                 found_j.append(js[pick])
                 scores.append((both / union)[pick])
+                held += len(scores[-1])
+                if held > HELD_PAIRS:
+                    i_, j_, score_, less = likeliest()
+                    found_i, found_j, scores, held, dropped = [i_], [j_], [score_], 0, dropped or less
         if not found_i:
             return none, none, False
-        i, j, score = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(scores)
-        pick = _best(comp[0][i], score, most) | _best(comp[1][j], score, most)
-        a, b = node[0][i[pick]], node[1][j[pick]]
-        return np.minimum(a, b), np.maximum(a, b), not pick.all()
+        i, j, _, less = likeliest()
+        a, b = node[0][i], node[1][j]
+        return np.minimum(a, b), np.maximum(a, b), dropped or less
 
     def run(batches):
         at, held = None, []
@@ -329,7 +341,8 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, num: int
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
     # A key's largest component: its tiles come after the others' and do not meet each other.
     full = stage(members.join(sides, "key").withColumn("main", F.col("comp") == F.col("most")).drop("most").join(sizes, "node").withColumn("band", band), "jaccard-open")
-    tiles = full.groupBy("key", "band").agg(*[F.ceil(F.count_if(x) / TILE_ROWS).cast("int").alias(c) for c, x in (("few", ~F.col("main")), ("mains", F.col("main")))])
+    rows = F.least(F.lit(TILE_ROWS), F.floor(F.lit(TILE_BYTES) / F.least(F.max("n"), F.lit(MAX_BITS // 8))))  # a bitmap has at most a byte a shingle
+    tiles = full.groupBy("key", "band").agg(*[F.ceil(F.count_if(x) / rows).cast("int").alias(c) for c, x in (("few", ~F.col("main")), ("mains", F.col("main")))])
     first, wide = F.when(F.col("main"), F.col("few")).otherwise(0), F.when(F.col("main"), F.col("mains")).otherwise(F.col("few"))
     me = full.join(tiles, ["key", "band"]).withColumn("tile", (first + F.pmod(F.xxhash64("node"), wide)).cast("int")).drop("few", "mains")
     others = F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("mains"))
@@ -354,20 +367,6 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, num: int
     return dealt.mapInArrow(_compare_tiles(num, den, most), "a long, b long").distinct(), full
 
 
-def _meetings(groups: DataFrame, near: DataFrame) -> DataFrame:
-    """(key, node): groups that any two documents of a key share, with fewer rows than one a key and document."""
-    home = near.select(F.col("b").alias("node"), F.col("hub").alias("home"))
-    at_home = groups.join(home, "node", "left").select("key", "node", F.coalesce("home", "node").alias("home"))
-    homes = at_home.select("key", "home").distinct()
-    size = homes.groupBy("key").agg(F.count("*").alias("homes"))
-    few = homes.join(size.where(f"homes <= {HOMES}"), "key").groupBy("key").agg(F.array_sort(F.collect_list("home")).alias("h"))
-    pairs = few.select(F.explode(F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 1, F.size("h")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).select("p.x", "p.y").distinct()
-    pairs = pairs.select(F.xxhash64("x", "y").alias("key"), F.explode(F.array_distinct(F.array("x", "y"))).alias("home"))
-    several = pairs.join(at_home.select("home", "node").distinct(), "home").select("key", "node")
-    alone = at_home.join(size.where(f"homes > {HOMES}"), "key").select("key", "node")
-    return several.union(alone).distinct()
-
-
 def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rk, h1, n) of every row, and (node, component) of the sets that have links."""
     spark = docs.sparkSession
@@ -392,19 +391,18 @@ def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_
     alive = stage(ranked.select("node", "rk", "n", (100 - F.floor(100 * F.size("keys") / sent)).cast("int").alias("rank"), F.slice("keys", 1, F.size("keys") - need + 1).alias("keys")), "jaccard-alive")
     release(spark)
     member = alive.select("node", "n", "rank", F.explode("keys.key").alias("key"))
-    # Keys of one passage have the same documents: of those one is enough.
-    same = [F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")]
-    one = member.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("hub"), *same).where("m > 1").groupBy("m", "s1", "s2").agg(F.min(F.struct("key", "hub")).alias("k")).select("k.key", "k.hub")
-    groups = stage(member.join(one, "key"), "jaccard-groups")
+    # Keys of one passage have nearly the same documents, so most of them have the same least hash.
+    one = member.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("hub"), F.count("*").alias("m"), F.min(F.xxhash64("node")).alias("group")).where("m > 1")
+    merged = member.join(one.select("key", "group"), "key").groupBy(F.col("group").alias("key"), "node").agg(F.min("n").alias("n"))
+    groups = stage(merged.join(one.groupBy(F.col("group").alias("key")).agg(F.min("hub").alias("hub")), "key"), "jaccard-groups")
     texts = stage(slim.select("rk", "text").join(alive.select("rk", "node"), "rk").dropDuplicates(["rk"]).select("node", "text"), "jaccard-texts")
     drop_staged(scanned, some)
     release(spark)
 
     near = groups.where(f"hub.node <> node and {den} * least(n, hub.n) >= {num} * greatest(n, hub.n)").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    tried = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("hub")), "jaccard-near")
-    asked = tried.select(F.col("hub").alias("a"), F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
-    links = stage(verify(asked, texts, width, num, den), "jaccard-links")
-    tried = [tried]
+    near = stage(near, "jaccard-near")
+    links = stage(verify(near, texts, width, num, den), "jaccard-links")
+    tried = [near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))]
 
     def sized(batches):
         for batch in batches:
@@ -412,12 +410,11 @@ def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "n": pa.array([len(s) for s in sigs], pa.int64()), "bits": pa.array([bitmap(s) for s in sigs], pa.binary())})
 
     sizes = stage(texts.mapInArrow(sized, "node long, n long, bits binary"), "jaccard-sizes")
-    members = stage(_meetings(groups, tried[0].withColumn("b", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")))), "jaccard-meetings")
     found = [links]
     labels = components(links, "jaccard")
     most = TILE_PAIRS
     while True:
-        pairs, full = _open_pairs(members, labels, sizes, num, den, most)
+        pairs, full = _open_pairs(groups, labels, sizes, num, den, most)
         for old in tried:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         fresh = stage(pairs, "jaccard-fresh")
@@ -433,7 +430,7 @@ def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_
         if fresh.where("a is null").isEmpty():  # no tile held any pair back
             break
         most *= MORE
-    drop_staged(alive, groups, members, texts, sizes, *found, *tried)
+    drop_staged(alive, groups, texts, sizes, near, *found, *tried[1:])
     release(spark)
     return sets, labels
 
