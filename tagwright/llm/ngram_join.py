@@ -44,7 +44,7 @@ HUB_ROWS, TILE_ROWS = 500, 2048
 #: Bytes of a tile's bitmaps; pairs that a tile holds before it drops those that cannot be among the likeliest.
 TILE_BYTES, HELD_PAIRS = 1 << 24, 1 << 20
 #: Pairs that a tile sends to verification for one component in the first turn; each turn takes MORE times as many.
-TILE_PAIRS, MORE = 16, 8
+TILE_PAIRS, MORE = 2, 16
 #: Bits of the largest bitmap; smaller sets have four to eight a shingle.
 MAX_BITS = 1 << 17
 #: Bytes of text that are hashed at once, and the length from which a word is hashed by itself.
@@ -410,8 +410,8 @@ def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "n": pa.array([len(s) for s in sigs], pa.int64()), "bits": pa.array([bitmap(s) for s in sigs], pa.binary())})
 
     sizes = stage(texts.mapInArrow(sized, "node long, n long, bits binary"), "jaccard-sizes")
-    found = [links]
     labels = components(links, "jaccard")
+    drop_staged(links)
     most = TILE_PAIRS
     while True:
         pairs, full = _open_pairs(groups, labels, sizes, num, den, most)
@@ -420,17 +420,16 @@ def _classes(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_
         fresh = stage(pairs, "jaccard-fresh")
         drop_staged(full)
         release(spark)
-        found.append(stage(verify(fresh.where("a is not null"), texts, width, num, den), "jaccard-links"))
-        links = found[0]
-        for x in found[1:]:
-            links = links.union(x)
-        drop_staged(labels)
-        labels = components(links, "jaccard")
+        new = stage(verify(fresh.where("a is not null"), texts, width, num, den), "jaccard-links")
+        # A component goes on as a star: its links are no longer needed.
+        grown = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), "jaccard")
+        drop_staged(labels, new)
+        labels = grown
         tried.append(fresh)
         if fresh.where("a is null").isEmpty():  # no tile held any pair back
             break
         most *= MORE
-    drop_staged(alive, groups, texts, sizes, near, *found, *tried[1:])
+    drop_staged(alive, groups, texts, sizes, near, *tried[1:])
     release(spark)
     return sets, labels
 
