@@ -21,9 +21,6 @@ MODES = ("count", "demux", "pair-count")
 class Spec:
     mode: str = "count"
     targets: str = ""
-    right_targets: str = ""
-    right_start: int = 0
-    right_length: int = 0
     samples: list[tuple[str, str]] = field(default_factory=list)
     start: int = 0
     length: int = 0
@@ -33,14 +30,18 @@ class Spec:
     indel_window: int = 0
     auto_offset: int = 0
     out: str = ""
+    right_targets: str = ""
+    right_start: int = 0
+    right_length: int = 0
 
     @classmethod
     def load(cls, text: str) -> Spec:
         doc = tomllib.loads(text)
         ex, asg, out, right = doc.get("extract", {}), doc.get("assignment", {}), doc.get("outputs", {}), doc.get("right", {})
         return cls(
-            doc.get("mode", "count"), doc.get("targets", ""), right.get("targets", ""), right.get("start", 0), right.get("length", 0), [(s["id"], s["fastq"]) for s in doc.get("samples", [])], ex.get("start", 0), ex.get("length", 0),
+            doc.get("mode", "count"), doc.get("targets", ""), [(s["id"], s["fastq"]) for s in doc.get("samples", [])], ex.get("start", 0), ex.get("length", 0),
             asg.get("metric", "levenshtein"), asg.get("k", 1), asg.get("policy", "best"), ex.get("indel_window", 0), ex.get("auto_offset", 0), out.get("dir", ""),
+            right.get("targets", ""), right.get("start", 0), right.get("length", 0),
         )
 
     def problems(self) -> list[str]:

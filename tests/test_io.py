@@ -47,14 +47,14 @@ def test_assay_modes(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("id\tseq\na\tACGTAC\nb\tTTGGCC\n")
     _write(tmp_path / "s1.fastq", ["GACGTACTT", "GTTGGCCTT"])
     _write(tmp_path / "s2.fastq", ["GGGACGTACT", "GGGACGTACA"])
-    _write(tmp_path / "s3.fastq", ["CCACGTC", "CCTTGGGCCA"])
+    _write(tmp_path / "s3.fastq", ["CCACGTC", "CCTATGGCCA", "CCTTGGGCCA"])  # the last: windows of 6 and 7 are as near, the first counts
     base = {"targets": str(tmp_path / "t.tsv"), "length": 6}
     spec = assay.Spec(samples=[("S1", str(tmp_path / "s1.fastq")), ("S2", str(tmp_path / "s2.fastq"))], start=2, auto_offset=2, k=0, **base)
     got = {(r.sample, r.target_id): r["count"] for r in assay.run(spark, spec)["counts_long"].collect()}
     assert got == {("S1", "a"): 1, ("S1", "b"): 1, ("S2", "a"): 2, ("S2", "b"): 0}
     spec = assay.Spec(samples=[("S3", str(tmp_path / "s3.fastq"))], start=2, indel_window=1, **base)
-    row = {r.target_id: (r.count_deletion, r.count_insertion) for r in assay.run(spark, spec)["counts_long"].collect()}
-    assert row == {"a": (1, 0), "b": (0, 1)}
+    row = {r.target_id: (r.count_deletion, r.count_insertion, r.count_substitution) for r in assay.run(spark, spec)["counts_long"].collect()}
+    assert row == {"a": (1, 0, 0), "b": (0, 1, 1)}
     _write(tmp_path / "p.fastq", ["ACGTACTTGGCC", "ACGTACACGTAC", "ACGTACGGGGGG", "ACG"])
     pair = assay.Spec(mode="pair-count", samples=[("P", str(tmp_path / "p.fastq"))], right_targets=base["targets"], right_start=6, right_length=6, k=0, **base)
     res = assay.run(spark, pair)
