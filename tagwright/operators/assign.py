@@ -7,8 +7,8 @@ within k). ``unique``: one. Ties are never resolved; the lowest target index is
 The join is an equi-join on keys: strings within k edits share a string left by deleting at
 most k symbols of each, and strings of equal length within one substitution share a masked
 form. Only *distinct* observed windows are joined, so a read costs a lookup however often its
-window occurs; Spark broadcasts the target keys if they are small by its own threshold, and
-shuffles both sides by key otherwise.
+window occurs. Both sides are shuffled by key: Spark's size threshold knows the library's files, not
+the keys made of them, so it is never asked whether to broadcast.
 """
 
 from __future__ import annotations
@@ -19,6 +19,15 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a join by key that shuffles both sides, whatever size Spark expects.
+
+    It sizes a side by its files' bytes, which tell nothing of the rows exploded or computed from
+    them: of a large library it would collect many times its threshold in the driver.
+    """
+    return df.hint("merge")
+
+
 def _keys(s: str, k: int, metric: str):
     return S.masked_keys(s, k) if metric == "hamming" and k <= 1 else S.deletion_keys(s, k)
 
@@ -30,11 +39,11 @@ def hits(windows: DataFrame, targets: DataFrame, k: int, metric: str = "levensht
     left = windows.select(F.col(col).alias("observed")).where("observed is not null").distinct()
     right = targets.select("target_index", F.col("seq").alias("target_seq"))
     if k <= 0:
-        return left.join(right, left.observed == right.target_seq).withColumn("distance", F.lit(0))
+        return left.join(spread(right), left.observed == right.target_seq).withColumn("distance", F.lit(0))
     distance = (S.hamming_within if metric == "hamming" else S.levenshtein_within)("observed", "target_seq", k)
     # Keys travel as 64-bit hashes; what shares one is compared as text anyway.
     keyed = lambda df, c: df.withColumn("key", F.explode(_keys(c, k, metric))).withColumn("key", F.xxhash64("key"))
-    pairs = keyed(left, "observed").join(keyed(right, "target_seq"), "key")
+    pairs = keyed(left, "observed").join(spread(keyed(right, "target_seq")), "key")
     return pairs.withColumn("distance", distance).where("distance is not null").groupBy("observed", "target_index").agg(F.min("distance").alias("distance"))
 
 
@@ -93,14 +102,22 @@ def _filled(df: DataFrame, valid) -> DataFrame:
     return df.withColumn("status", F.when(~valid, "invalid").otherwise(F.coalesce("status", F.lit("none"))))
 
 
+def with_targets(cut: DataFrame, table: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows with the result of their window, and its target's columns of ``names``.
+
+    Targets are joined to distinct windows: of the rows, those without a target would meet in one task.
+    """
+    more = [c for c in names.columns if c != "target_index"]
+    out = _filled(cut.join(table.join(spread(names), "target_index", "left"), "observed", "left"), F.col("observed").isNotNull())
+    return out.select("target_index", *(c for c in out.columns if c not in ("target_index", *more)), *more)
+
+
 def assign(reads: DataFrame, targets: DataFrame, k: int, metric: str = "levenshtein", policy: str = "best", start: int = 0, length: int | None = None, seq_col: str = "seq") -> DataFrame:
     """Each read with its window's result. Without ``length`` the whole sequence is the window."""
     observed = F.upper(F.col(seq_col)) if length is None else S.window(seq_col, start, length)
     cut = reads.withColumn("observed", observed)
     table = assign_windows(cut, targets, k, metric, policy)
-    out = _filled(cut.join(table, "observed", "left"), F.col("observed").isNotNull())
-    names = targets.select(F.col("target_index"), F.col("target_id"), F.col("seq").alias("target_seq"))
-    out = out.join(names, "target_index", "left")
+    out = with_targets(cut, table, targets.select("target_index", "target_id", F.col("seq").alias("target_seq")))
     return out.withColumn("edit_kind", F.when(F.col("status") == "unique", S.edit_kind("observed", "target_seq", "best_distance")))
 
 

@@ -45,7 +45,7 @@ def fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     targets = spark.sql(FX_TARGETS, part=part)
-    return spark.sql(FX_READS, part=part, orders=orders, fx_targets=targets), targets
+    return spark.sql(FX_READS, part=part, orders=orders, fx_targets=A.spread(targets)), targets
 
 
 _CTE = "with fx_targets as (" + FX_TARGETS.format(part="part") + "),\nfx_reads as (" + FX_READS.format(part="part", orders="orders", fx_targets="fx_targets") + ")"
