@@ -20,9 +20,7 @@ def window_counts(reads: DataFrame, start: int, length: int, sample: str = "samp
 def assigned_counts(counts: DataFrame, targets: DataFrame, k: int, metric: str = "levenshtein", policy: str = "best") -> DataFrame:
     """Window counts with each window's result; reads themselves are not needed any more."""
     table = A.assign_windows(counts, targets, k, metric, policy)
-    out = A._filled(counts.join(table, "observed", "left"), F.col("observed").isNotNull())
-    names = targets.select("target_index", F.col("seq").alias("target_seq"))
-    out = out.join(names, "target_index", "left")
+    out = A.with_targets(counts, table, targets.select("target_index", F.col("seq").alias("target_seq")))
     return out.withColumn("kind", F.when(F.col("status") == "unique", S.edit_kind("observed", "target_seq", "best_distance")))
 
 
@@ -35,7 +33,7 @@ def count_long(assigned: DataFrame, targets: DataFrame, samples: DataFrame) -> D
     """A row for each sample and target, zeros too; counts by kind."""
     part = [F.coalesce(F.sum(F.when(F.col("kind") == x, F.col("n"))), F.lit(0)).alias(f"count_{x}") for x in KINDS]
     cube = count_cube(assigned).groupBy("sample", "target_index").agg(*part, F.sum("n").alias("count"))
-    full = samples.select("sample").crossJoin(targets.select("target_index", "target_id", F.col("seq").alias("target_seq"), "gene"))
+    full = F.broadcast(samples.select("sample")).crossJoin(targets.select("target_index", "target_id", F.col("seq").alias("target_seq"), "gene"))
     return full.join(cube, ["sample", "target_index"], "left").fillna(0, [f"count_{x}" for x in KINDS] + ["count"])
 
 
@@ -120,7 +118,7 @@ def run_summary(assigned: DataFrame, long: DataFrame) -> DataFrame:
 def ambiguous_nearby(targets: DataFrame, k: int, metric: str = "levenshtein") -> DataFrame:
     """Targets with a flag: another target within k of its own sequence."""
     res = A.assign_windows(targets.select(F.col("seq").alias("observed")), targets, k, metric)
-    return targets.join(res.select(F.col("observed").alias("seq"), "match_count"), "seq").select(
+    return A.spread(targets).join(res.select(F.col("observed").alias("seq"), "match_count"), "seq").select(
         "target_index", "target_id", F.when(F.col("match_count") > 1, "yes").otherwise("no").alias("ambiguous_nearby")
     )
 
@@ -160,7 +158,7 @@ def pair_stats(pairs: DataFrame) -> DataFrame:
 
 def demux_summary(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     s = status_counts(assigned)
-    per = assigned.where("status = 'unique'").groupBy("target_index").agg(F.sum("n").alias("c")).join(targets.select("target_index", "target_id"), "target_index")
+    per = assigned.where("status = 'unique'").groupBy("target_index").agg(F.sum("n").alias("c")).join(A.spread(targets.select("target_index", "target_id")), "target_index")
     t = per.agg(F.count("*").alias("nonempty_outputs"), F.max(F.struct("c", -F.col("target_index"), "target_id")).alias("top"))
     return s.select("total_reads", "assigned_reads", "exact_reads", "k1_rescued_reads", "ambiguous_reads", "no_match_reads", "invalid_reads").crossJoin(t.select("nonempty_outputs", F.col("top.target_id").alias("top_barcode"), F.col("top.c").alias("top_count")))
 
