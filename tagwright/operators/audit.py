@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from .assign import spread
 from .lineage import cut
 
 
@@ -18,10 +19,10 @@ def close_pairs(targets: DataFrame, k: int) -> DataFrame:
     keyed = d.withColumn("key", F.explode(S.deletion_keys("seq", k)))
     other = keyed.select(F.col("seq").alias("seq_b"), "key")
     dist = S.levenshtein_within("seq", "seq_b", k)
-    near = keyed.join(other, "key").where((F.col("seq") <= F.col("seq_b")) & dist.isNotNull()).select("seq", "seq_b").distinct().withColumn("distance", dist)
+    near = keyed.join(spread(other), "key").where((F.col("seq") <= F.col("seq_b")) & dist.isNotNull()).select("seq", "seq_b").distinct().withColumn("distance", dist)
     a = targets.select(F.col("target_index").alias("x"), "seq")
     b = targets.select(F.col("target_index").alias("y"), F.col("seq").alias("seq_b"))
-    both = near.join(a, "seq").join(b, "seq_b")
+    both = near.join(spread(a), "seq").join(spread(b), "seq_b")
     same = F.col("seq") == F.col("seq_b")
     return both.where((same & (F.col("x") < F.col("y"))) | ~same).select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "distance")
 

@@ -146,11 +146,11 @@ def _near(panel: DataFrame, k: int) -> DataFrame:
     from .audit import close_pairs
 
     rc = panel.select(F.col("target_index").alias("y"), S.reverse_complement("seq", other_to_n=False).alias("seq"))
-    turned = panel.select(F.col("target_index").alias("x"), "seq").join(rc, "seq").where("x <> y").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    turned = panel.select(F.col("target_index").alias("x"), "seq").join(A.spread(rc), "seq").where("x <> y").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
     found = close_pairs(panel, k).select("i", "j").union(turned).distinct()
     a = panel.select(F.col("target_index").alias("i"), F.col("target_id").alias("barcode_id"), F.col("seq").alias("sequence"))
     b = panel.select(F.col("target_index").alias("j"), F.col("target_id").alias("other_id"), F.col("seq").alias("other_sequence"))
-    return found.join(a, "i").join(b, "j")
+    return found.join(A.spread(a), "i").join(A.spread(b), "j")
 
 
 def _measured(pairs: DataFrame, c: Constraints) -> DataFrame:
@@ -250,7 +250,7 @@ def assignment_risk(panel: DataFrame, k: int, metric: str = "levenshtein") -> Da
     """Variants of a barcode that would be ambiguous, or silently given to another barcode."""
     v = error_sphere(panel, k, metric)
     res = A.assign_windows(v.select(F.col("variant").alias("observed")), panel, k, metric)
-    out = v.join(res, v.variant == res.observed).select(v.target_index.alias("source_index"), "variant", res.target_index, "best_distance", "status")
+    out = A.spread(v).join(res, v.variant == res.observed).select(v.target_index.alias("source_index"), "variant", res.target_index, "best_distance", "status")
     risk = F.when(F.col("status") == "ambiguous", "ambiguous").when(F.col("target_index") != F.col("source_index"), "silent_assignment")
     return out.withColumn("risk", risk).where("risk is not null")
 

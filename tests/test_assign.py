@@ -237,3 +237,29 @@ def test_confusable_signals(spark):
     df = spark.createDataFrame(rows, "target_index long, target_id string, signal array<double>")
     want = sorted((abs(i - j) + abs(i * i - j * j), f"s{i}", f"s{j}") for i in range(6) for j in range(i + 1, 6))[:4]
     assert [(r.signal_distance, r.barcode_id, r.other_id) for r in panel.confusable_signals(df, 4).collect()] == want
+
+
+@pytest.mark.parametrize("name", ["k0", "k1", "k2", "hamming", "assign", "assigned_counts", "ambiguous_nearby", "demux_summary", "close_pairs", "panel_near", "assignment_risk"])
+def test_library_is_not_broadcast(spark, name, tmp_path):
+    """A library's file is far smaller than what is joined: its keys must not go through the driver."""
+    lib(spark).write.parquet(f"{tmp_path}/lib")
+    reads(spark, ["ACGT", "GGGG"]).write.parquet(f"{tmp_path}/reads")
+    t, r = spark.read.parquet(f"{tmp_path}/lib"), spark.read.parquet(f"{tmp_path}/reads")
+    counts = counting.window_counts(r, 0, 4)
+    w = r.select(F.col("seq").alias("observed"))
+    made = {
+        "k0": lambda: A.hits(w, t, 0), "k1": lambda: A.hits(w, t, 1), "k2": lambda: A.hits(w, t, 2), "hamming": lambda: A.hits(w, t, 1, "hamming"),
+        "assign": lambda: A.assign(r, t, 1, start=0, length=4), "assigned_counts": lambda: counting.assigned_counts(counts, t, 1),
+        "ambiguous_nearby": lambda: counting.ambiguous_nearby(t, 1), "demux_summary": lambda: counting.demux_summary(counting.assigned_counts(counts, t, 1), t),
+        "close_pairs": lambda: audit.close_pairs(t, 1), "panel_near": lambda: panel._near(t, 1), "assignment_risk": lambda: panel.assignment_risk(t, 1),
+    }[name]()
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_count_long_broadcasts_samples(spark, tmp_path):
+    lib(spark).write.parquet(f"{tmp_path}/lib")
+    t, r = spark.read.parquet(f"{tmp_path}/lib"), reads(spark, ["ACGT", "GGGG"])
+    long = counting.count_long(counting.assigned_counts(counting.window_counts(r, 0, 4), t, 1), t, r.select("sample").distinct())
+    assert "BroadcastNestedLoopJoin BuildLeft" in long._jdf.queryExecution().sparkPlan().toString()
+    assert {x.target_id: x["count"] for x in long.collect()} == {"bc0": 1, "bc1": 0, "bc2": 0, "bc3": 0}
