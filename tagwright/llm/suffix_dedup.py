@@ -12,7 +12,8 @@ texts are looked at further:
    document's travels; the others are wholly repeated.
 3. Segments meet by minimizer. A minimizer with more segments than one task should hold is dealt
    out by its strings of ``length`` bytes instead, equal ones again collapsed in each task first.
-   What meets is sorted by contexts of ``length`` bytes (documents ascending within a context) into a
+   Of what meets, segments that agree with none of another document in most of a string's bytes
+   around the minimizer are left out. The rest is sorted by contexts of ``length`` bytes (documents ascending within a context) into a
    run-compressed Burrows-Wheeler transform, sampled where a context's run starts. Streaming matching
    statistics, capped at ``length``, by backward search give each string's context, and so the
    smallest document that has it.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ GRAM = 16
 SEGMENT, HELD_BYTES, BLOCK_BYTES = 64, 16 << 20, 1 << 20
 #: Segments of one minimizer that one task takes; more are dealt out by their strings.
 HOT_ROWS = 16_384
+#: Step, in bytes, of the windows around a minimizer by which segments are held against each other.
+ALIGN = 7
 #: Strings of a text whose minimizers are found at once.
 PIECE = 1 << 19
 _U = np.uint64
@@ -312,16 +316,22 @@ class RunIndex:
         Segments advance together, one byte to the left a step; when ``length`` bytes have matched,
         the context is read off and the interval widened to the first ``length - 1`` bytes.
         """
-        size = np.array([len(s) for s in segs])
-        out = [np.full(max(0, len(s) - self.length + 1), np.iinfo(np.int64).max) for s in segs]
+        size = np.array([len(s) for s in segs], np.int64)
+        cut = np.r_[0, np.cumsum(np.maximum(0, size - self.length + 1))]
+        res = self._first(segs, size, cut)
+        return [res[cut[i] : cut[i + 1]] for i in range(len(segs))]
+
+    def _first(self, segs: list[bytes], size: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """The same, one segment after another: each from its ``cut``."""
         order = np.argsort(-size, kind="stable")
         flat = np.frombuffer(b"".join(segs), np.uint8).astype(np.int64) + 1
         ends = np.cumsum(size)[order]
         sizes = size[order]
         lo, hi = np.zeros(len(segs), np.int64), np.full(len(segs), self.n, np.int64)
         steps = int(sizes[0]) if len(sizes) else 0
-        res = np.full(int(np.maximum(0, size - self.length + 1).sum()), np.iinfo(np.int64).max)
-        place = np.cumsum(np.maximum(0, size - self.length + 1))[order]  # end of each segment's part
+        res = np.full(int(cut[-1]), np.iinfo(np.int64).max)
+        ends_short = np.r_[self.short_start[1:], self.n]
+        place = cut[1:][order]  # end of each segment's part
         for t in range(steps):
             live = int(np.searchsorted(-sizes, -t, side="left"))  # segments longer than t
             c = flat[ends[:live] - 1 - t]
@@ -333,75 +343,135 @@ class RunIndex:
                 res[k[found]] = self.sample[np.searchsorted(self.sample_at, lo[:live][found])]
                 j = np.searchsorted(self.short_start, lo[:live], side="right") - 1
                 lo[:live] = self.short_start[j]
-                hi[:live] = np.r_[self.short_start, self.n][j + 1]
-        cut = np.r_[0, np.cumsum([len(x) for x in out])]
-        return [res[cut[i] : cut[i + 1]] for i in range(len(segs))]
+                hi[:live] = ends_short[j]
+        return res
+
+
+def _alike(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the segments data[lo:hi] (one after another) may share a string with another document of their
+    group, and which with a smaller one.
+
+    Around a minimizer of a string that two segments share they agree in ``length - GRAM`` further bytes, some
+    number of them before it: with that rounded down to a multiple of ALIGN, in the window from there on.
+    """
+    h = _hashes(data) >> _U(16) if len(data) >= GRAM else np.empty(0, _U)
+    row = np.repeat(np.arange(len(lo)), hi - lo)[: len(h)]
+    at = np.flatnonzero(h == key.view(_U)[row])
+    row = row[at]
+    values, rows = [], []
+    for left in range(0, length - GRAM + 1, ALIGN):
+        right = GRAM + max(0, length - GRAM - left - ALIGN + 1)
+        fits = (at - left >= lo[row]) & (at + right <= hi[row])
+        x, y = at[fits], row[fits]
+        values.append(_digests(data, x - left, x + right) + (group[y].astype(_U) * _U(length) + _U(left)) * _U(0x9E3779B97F4A7C15))
+        rows.append(y)
+    v, of = np.concatenate(values), np.concatenate(rows)
+    order = np.lexsort((doc[of], v))
+    of = of[order]
+    new = np.flatnonzero(shared_keys.starts(v[order]))
+    size = np.diff(np.r_[new, len(of)])
+    first, last = np.repeat(doc[of[new]], size), np.repeat(doc[of[new + size - 1]], size)
+    some, less = np.zeros(len(lo), bool), np.zeros(len(lo), bool)
+    some[of[first < last]] = True
+    less[of[doc[of] > first]] = True
+    return some, less
 
 
 def _judge(length: int):
     """Segments sorted by (key, salt): spans of strings that a smaller document has."""
 
-    def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        node, start, end = [], [], []
-
-        def gone(r: tuple, a: int, b: int) -> None:
-            places = [(r[3], r[4]), *np.frombuffer(r[6], np.int64).reshape(-1, 2).tolist()] if r[6] else [(r[3], r[4])]
-            for x, at in places:
-                node.append(x)
-                start.append(at + a)
-                end.append(at + b)
-
-        open_: list[tuple] = []
-        at = 0
-        while at < len(rows):
-            to = at + 1
-            while to < len(rows) and rows[to][:2] == rows[at][:2]:
-                to += 1
-            mine, at = rows[at:to], to
-            if len(mine) < 2:
-                continue
-            least: dict[bytes, int] = {}
-            for r in mine:
-                least[r[5]] = min(r[2], least.get(r[5], r[2]))
-            # Equal segments of several tasks: all but the smallest document's are repeated whole.
-            rest = []
-            for r in mine:
-                if r[2] > least[r[5]]:
-                    gone(r, 0, len(r[5]))
-                else:
-                    rest.append(r)
-            if len(least) > 1 and len({r[2] for r in rest}) > 1:
-                open_ += rest
-        if open_:
-            open_.sort(key=lambda r: r[2])
-            segs = [r[5] for r in open_]
-            first = RunIndex(segs, [r[2] for r in open_], length).first_documents(segs)
-            for r, f in zip(open_, first, strict=True):
-                at = np.flatnonzero(f < r[2])
-                if len(at):
-                    cut = np.flatnonzero(np.diff(at) > 1)
-                    for x, y in zip(at[np.r_[0, cut + 1]].tolist(), at[np.r_[cut, len(at) - 1]].tolist(), strict=True):
-                        gone(r, x, y + length)
-        yield from _spans(*(np.array(x, np.int64) for x in (node, start, end)))
+    def told(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, salt, doc, node, start = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        new = np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
+        group = np.cumsum(new) - 1
+        met = np.flatnonzero(np.bincount(group)[group] > 1)
+        if not len(met):
+            return
+        key, doc, node, start, group = (x[met] for x in (key, doc, node, start, group))
+        seg, more = rows.column(5).take(pa.array(met)), rows.column(6).take(pa.array(met))
+        data, (lo, hi) = _flat(seg)
+        # Equal segments of several tasks: all but the smallest document's are repeated whole.
+        digest = _digests(data, lo, hi)
+        order = np.lexsort((doc, digest, group))
+        head = np.r_[True, (digest[order][1:] != digest[order][:-1]) | (group[order][1:] != group[order][:-1])]
+        least = np.empty_like(doc)
+        least[order] = doc[order][head][np.cumsum(head) - 1]
+        whole = np.flatnonzero(doc > least)
+        nodes, starts, ends = [node[whole]], [start[whole]], [(start + hi - lo)[whole]]
+
+        def gone(i: int, a: int, b: int) -> None:
+            places = np.frombuffer(more[i].as_py(), np.int64).reshape(-1, 2)
+            nodes.append(places[:, 0])
+            starts.append(places[:, 1] + a)
+            ends.append(places[:, 1] + b)
+
+        several = more.is_valid().to_numpy(zero_copy_only=False)
+        for i in whole[several[whole]].tolist():
+            gone(i, 0, int(hi[i] - lo[i]))
+        rest = np.flatnonzero(doc == least)
+        data, (lo, hi) = _flat(seg.take(pa.array(rest)))
+        some, less = _alike(data, lo, hi, key[rest], group[rest], doc[rest], length)
+        if less.any():
+            kept = np.flatnonzero(some)
+            kept = kept[np.argsort(doc[rest[kept]], kind="stable")]
+            asked = kept[less[kept]]
+            raw = data.tobytes()
+            index = RunIndex([raw[a:b] for a, b in zip(lo[kept].tolist(), hi[kept].tolist(), strict=True)], doc[rest[kept]].tolist(), length)
+            size = (hi - lo)[asked]
+            cut = np.r_[0, np.cumsum(size - length + 1)]
+            first = index._first([raw[a:b] for a, b in zip(lo[asked].tolist(), hi[asked].tolist(), strict=True)], size, cut)
+            of = np.repeat(np.arange(len(asked)), size - length + 1)
+            at = np.flatnonzero(first < doc[rest[asked]][of])
+            if len(at):
+                open_ = np.flatnonzero(np.r_[True, (at[1:] > at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])])
+                x, y = at[open_], at[np.r_[open_[1:], len(at)] - 1]
+                i, x, y = rest[asked[of[x]]], x - cut[of[x]], y - cut[of[y]] + length
+                nodes.append(node[i])
+                starts.append(start[i] + x)
+                ends.append(start[i] + y)
+                for j in np.flatnonzero(several[i]).tolist():
+                    gone(int(i[j]), int(x[j]), int(y[j]))
+        yield from _spans(*(np.concatenate(x) for x in (nodes, starts, ends)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Several small minimizers are taken together, none being split.
-        at, held, size = None, [], 0
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                for r in zip(*(c.to_pylist() for c in batch.slice(lo, 4096).columns), strict=True):
-                    if size >= BLOCK_BYTES and r[:2] != at:
-                        yield from told(held)
-                        held, size = [], 0
-                    at = r[:2]
-                    held.append(r)
-                    size += len(r[5]) + len(r[6] or b"")
+                part = batch.slice(lo, 4096)
+                held.append(part)
+                size += _bytes(part)
+                if size < BLOCK_BYTES or _place(held[0], 0) == _place(part, -1):
+                    continue
+                rows = pa.concat_batches(held)
+                key, salt = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                cut = int(np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))[-1]) + 1
+                yield from told(rows.slice(0, cut))
+                held = [rows.slice(cut)]
+                size = _bytes(held[0])
         if held:
-            yield from told(held)
+            yield from told(pa.concat_batches(held))
 
     return run
 
 
+def _flat(texts: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The bytes of an array of short texts one after another, and where each starts and ends in them."""
+    size = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.r_[0, np.cumsum(size)]
+    return np.frombuffer(b"".join(texts.to_pylist()), np.uint8), (at[:-1], at[1:])
+
+
+def _bytes(rows: pa.RecordBatch) -> int:
+    return sum(pa.compute.sum(pa.compute.binary_length(rows.column(i))).as_py() or 0 for i in (5, 6))
+
+
+def _place(rows: pa.RecordBatch, i: int) -> tuple[int, int]:
+    i %= rows.num_rows
+    return rows.column(0)[i].as_py(), rows.column(1)[i].as_py()
+
+
 def _repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h1, h2, n, sha) of all rows, and (h1, text, spans) of texts with repeated bytes."""
     if length < 2 * GRAM:
