@@ -25,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import held, rows_of
 
 #: A vocabulary is broadcast; larger files than this are refused.
 MAX_VOCAB_BYTES = 64 << 20
-#: Bound on lazily made transitions and on memoised pieces.
+#: Bound on memoised pieces and on chunks; on lazily made transitions half of it. What is not held is worked out again.
 CACHE = 300_000
 
 
@@ -181,7 +181,7 @@ class Transducer:
         for at, c in enumerate(piece):
             move = moves.get(state << 8 | c)
             if move is None:
-                if len(moves) >= CACHE:
+                if len(moves) >= CACHE // 2:
                     return out + self._simulate(state, piece[at:])
                 move = self._step(state, c)
             state, told = move
@@ -268,15 +268,22 @@ class _Chunks(dict):
 
     A piece never reaches over a change from other characters to white space, so a text may be
     cut before each space that follows no white space, and the chunks encoded separately.
+
+    What is full becomes the older half, and chunks of that half that come again move back, so
+    frequent ones stay and at most ``CACHE`` are held.
     """
 
     def __init__(self, codec: Codec):
         self.codec = codec
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.codec.pieces_le32(" " + part)
+        ids = self.older.pop(part, None)
+        if ids is None:
+            ids = self.codec.chunk_le32(" " + part)
         if len(part) <= 64:
-            if len(self) >= 2 * CACHE:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
                 self.clear()
             self[part] = ids
         return ids
@@ -301,9 +308,20 @@ class Codec:
             at += len(piece)
         return out
 
+    def chunk_le32(self, text: str) -> bytes:
+        """As :meth:`pieces_le32`; a chunk that is one piece is kept as a chunk only."""
+        pieces = self.split(text)
+        if len(pieces) == 1:
+            ids = self.memo.get(pieces[0])
+            return _le32(self.transducer.encode(pieces[0].encode())) if ids is None else ids
+        return self._joined(pieces)
+
     def pieces_le32(self, text: str) -> bytes:
+        return self._joined(self.split(text))
+
+    def _joined(self, pieces: list[str]) -> bytes:
         memo, out = self.memo, []
-        for piece in self.split(text):
+        for piece in pieces:
             ids = memo.get(piece)
             if ids is None:
                 ids = _le32(self.transducer.encode(piece.encode()))
@@ -353,17 +371,15 @@ def _from_le32(raw: bytes) -> array:
     return a
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def _codec(raw: bytes, pattern: str) -> Codec:
+    codecs = held("bpe")
     key = (hashlib.md5(raw).digest(), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(raw, pattern)
-        # The tables live as long as the worker; the collector need not walk them again and again.
+    if key not in codecs:
+        codecs[key] = Codec(raw, pattern)
+        # The tables live until the worker serves another operator; the collector need not walk them again and again.
         gc.freeze()
         gc.set_threshold(200_000, 50, 1000)
-    return _CODECS[key]
+    return codecs[key]
 
 
 def read_vocab(path: str) -> bytes:

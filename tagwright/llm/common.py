@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -71,6 +72,31 @@ def drop_staged(*frames: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What this Python worker keeps for ``operator`` between tasks; what it kept for others goes.
+
+    Spark hands the same workers from stage to stage, so tables of one operator would stay beside
+    the next one's for as long as the application runs.
+    """
+    if any(name != operator and kept for name, kept in _HELD.items()):
+        _HELD.clear()
+        gc.unfreeze()
+        gc.collect()
+        give_back()
+    return _HELD.setdefault(operator, {})
+
+
+def give_back() -> None:
+    """Return freed memory to the system where the C library can; an idle worker would keep it."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[list[dict]]:
     """A batch in pieces of a few rows, so that few texts are Python objects at once."""
     for at in range(0, batch.num_rows, step):

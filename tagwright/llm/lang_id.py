@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import quoted, row_key, rows_of
+from .common import give_back, held, quoted, row_key, rows_of
 
 #: Labelled rows that the field is fitted on: of each language, and of all (but one of each language at least).
 ROWS_PER_LANG, SAMPLE_ROWS = 200, 12_800
@@ -292,6 +292,7 @@ def held_out(id_col: str) -> Column:
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole short texts; of a long one ``PASSAGES`` passages of ``PASSAGE`` words at even distances."""
+    held("lang_id")
     for batch in batches:
         out = []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -323,9 +324,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([(text, lang) for lang, text in got])
 
 
-_READY: dict[int, Labeller] = {}
-
-
 def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every whole text; a narrow pass.
 
@@ -340,11 +338,11 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
     model = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(model.value)
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = Labeller(model.value)
-        lab = _READY[key]
+        ready, key = held("lang_id"), id(model.value)
+        if key not in ready:
+            ready.clear()
+            ready[key] = Labeller(model.value)
+        lab = ready[key]
         for batch in batches:
             for rows in rows_of(batch):
                 got = lab.documents([r["text"] for r in rows])
@@ -373,12 +371,15 @@ def keep_known(docs: DataFrame, min_score: float = 0.4, id_col: str = "doc_id",
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("lang_id")
         lab = Labeller(model.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 got = lab.documents([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([g[0] != "und" and g[1] >= min_score for g in got], pa.bool_()))
+        del lab
+        give_back()
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -74,6 +74,25 @@ def test_bpe_matches_the_library(spark, docs, rows):
         assert codec.decode(codec.encode(s)) == s
 
 
+def test_worker_keeps_tables_of_one_operator():
+    raw = bpe.read_vocab(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert bpe._codec(raw, public_tokenizers.PATTERN) is bpe._codec(raw, public_tokenizers.PATTERN)
+    assert common._HELD["bpe"]
+    common.held("lang_id")["x"] = 1
+    assert not common._HELD.get("bpe") and common.held("lang_id") == {"x": 1}
+
+
+def test_bpe_chunks_are_bounded_and_frequent_ones_stay(monkeypatch):
+    codec = bpe.Codec(bpe.read_vocab(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    text = "".join(f" often w{i}" for i in range(100))
+    whole = codec.pieces_le32(text)
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    for _ in range(2):
+        assert codec.encode_le32(text) == whole
+        assert len(codec.chunks) + len(codec.chunks.older) <= 20 and "often" in codec.chunks | codec.chunks.older
+    assert not codec.memo.get(" often")  # held once, as a chunk
+
+
 def test_bpe_simulation_equals_states(monkeypatch):
     raw = bpe.read_vocab(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     full = bpe.Transducer(bpe.load_ranks(raw))
