@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tagwright import queries
 from tagwright.functions import seq as S
 from tagwright.operators import assign as A
 from tagwright.operators import audit, counting, inspect, offsets, panel
@@ -263,3 +264,9 @@ def test_count_long_broadcasts_samples(spark, tmp_path):
     long = counting.count_long(counting.assigned_counts(counting.window_counts(r, 0, 4), t, 1), t, r.select("sample").distinct())
     assert "BroadcastNestedLoopJoin BuildLeft" in long._jdf.queryExecution().sparkPlan().toString()
     assert {x.target_id: x["count"] for x in long.collect()} == {"bc0": 1, "bc1": 0, "bc2": 0, "bc3": 0}
+
+
+@pytest.mark.parametrize("name", ["assign_levenshtein_k1_radius", "assign_levenshtein_k2", "barcode_infer", "count_long", "count_wide", "crispr_review", "demux_summary", "length_set", "matrix_metrics", "matrix_pearson", "matrix_spearman", "pair_counts", "pair_stats", "qc_review", "quality_gate"])
+def test_no_library_is_broadcast_for_its_files_size(spark, name):
+    plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
