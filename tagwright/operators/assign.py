@@ -9,6 +9,9 @@ most k symbols of each, and strings of equal length within one substitution shar
 form. Only *distinct* observed windows are joined, so a read costs a lookup however often its
 window occurs. Both sides are shuffled by key: Spark's size threshold knows the library's files, not
 the keys made of them, so it is never asked whether to broadcast.
+
+Two edits are counted by :mod:`near2` where window and target are as long as each other; keys are left
+for the others.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from . import near2
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -32,8 +36,8 @@ def _keys(s: str, k: int, metric: str):
     return S.masked_keys(s, k) if metric == "hamming" and k <= 1 else S.deletion_keys(s, k)
 
 
-def hits(windows: DataFrame, targets: DataFrame, k: int, metric: str = "levenshtein", col: str = "observed") -> DataFrame:
-    """(observed, target_index, target_seq, distance): all targets within k of each distinct window."""
+def hits(windows: DataFrame, targets: DataFrame, k: int, metric: str = "levenshtein", col: str = "observed", apart: bool = False) -> DataFrame:
+    """(observed, target_index, target_seq, distance): all targets within k of each distinct window (``apart``: of other lengths only)."""
     if metric not in ("hamming", "levenshtein"):
         raise ValueError(f"unknown metric {metric}")
     left = windows.select(F.col(col).alias("observed")).where("observed is not null").distinct()
@@ -44,6 +48,7 @@ def hits(windows: DataFrame, targets: DataFrame, k: int, metric: str = "levensht
     # Keys travel as 64-bit hashes; what shares one is compared as text anyway.
     keyed = lambda df, c: df.withColumn("key", F.explode(_keys(c, k, metric))).withColumn("key", F.xxhash64("key"))
     pairs = keyed(left, "observed").join(spread(keyed(right, "target_seq")), "key")
+    pairs = pairs.where(F.length("observed") != F.length("target_seq")) if apart else pairs
     return pairs.withColumn("distance", distance).where("distance is not null").groupBy("observed", "target_index").agg(F.min("distance").alias("distance"))
 
 
@@ -88,8 +93,26 @@ def finalise(found: DataFrame, by: list[str], k: int, policy: str = "best") -> D
     return _merged(found, by, k).select(*by, *(c.alias(name) for name, c in _columns(k, policy).items()))
 
 
-def assign_windows(windows: DataFrame, targets: DataFrame, k: int, metric: str = "levenshtein", policy: str = "best") -> DataFrame:
-    """A row per distinct window that has any target within k."""
+def _unlike(df: DataFrame, col: str, other: DataFrame, other_col: str, k: int) -> DataFrame:
+    """Rows for which ``other`` has a string of another length within ``k`` of theirs."""
+    lengths = other.agg(F.collect_set(F.length(other_col)).alias("__lengths"))  # one row, a few numbers
+    gap = lambda n: F.abs(n - F.length(col)).between(1, k)
+    return df.crossJoin(F.broadcast(lengths)).where(F.exists("__lengths", gap)).drop("__lengths")
+
+
+def _merged_k2(windows: DataFrame, targets: DataFrame, length: int | None = None) -> DataFrame:
+    """What :func:`_merged` makes of :func:`hits` at k = 2, without listing the hits of equal length. Target indexes must be distinct."""
+    left = windows.select("observed").where("observed is not null").distinct()
+    unlike = _unlike(targets, "seq", left, "observed", 2) if length is None else targets.where(F.abs(F.length("seq") - length).between(1, 2))
+    found = hits(_unlike(left, "observed", targets, "seq", 2), unlike, 2, apart=True)
+    both = near2.equal_length(left, targets, _BITS).unionByName(_merged(found, ["observed"], 2))
+    return both.groupBy("observed").agg(F.min("__top").alias("__top"), *[F.sum(f"__n{i}").alias(f"__n{i}") for i in range(3)])
+
+
+def assign_windows(windows: DataFrame, targets: DataFrame, k: int, metric: str = "levenshtein", policy: str = "best", length: int | None = None) -> DataFrame:
+    """A row per distinct window that has any target within k. ``length``: that of all windows, if known."""
+    if k == 2 and metric == "levenshtein":
+        return _merged_k2(windows, targets, length).select("observed", *(c.alias(name) for name, c in _columns(k, policy).items()))
     return finalise(hits(windows, targets, k, metric), ["observed"], max(0, k), policy)
 
 
@@ -116,7 +139,7 @@ def assign(reads: DataFrame, targets: DataFrame, k: int, metric: str = "levensht
     """Each read with its window's result. Without ``length`` the whole sequence is the window."""
     observed = F.upper(F.col(seq_col)) if length is None else S.window(seq_col, start, length)
     cut = reads.withColumn("observed", observed)
-    table = assign_windows(cut, targets, k, metric, policy)
+    table = assign_windows(cut, targets, k, metric, policy, length if isinstance(length, int) else None)
     out = with_targets(cut, table, targets.select("target_index", "target_id", F.col("seq").alias("target_seq")))
     return out.withColumn("edit_kind", F.when(F.col("status") == "unique", S.edit_kind("observed", "target_seq", "best_distance")))
 

@@ -1,14 +1,16 @@
 """Golden micro-cases and properties of the similarity join."""
 
 import random
+from itertools import product
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tagwright import queries
 from tagwright.functions import seq as S
 from tagwright.operators import assign as A
-from tagwright.operators import audit, counting, inspect, offsets, panel
+from tagwright.operators import audit, counting, inspect, near2, offsets, panel
 from tagwright.sources import tables
 
 LIB = ("ACGT", "AGGT", "ACGA", "TTTT")
@@ -270,3 +272,57 @@ def test_count_long_broadcasts_samples(spark, tmp_path):
 def test_no_library_is_broadcast_for_its_files_size(spark, name):
     plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def _words(alphabet, n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(10))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("alphabet", ["AC", "ACGTN", "Aé𝄞"])
+def test_two_edits_against_the_scan(spark, alphabet):
+    """Windows and targets of lengths 0 to 9, as long as each other and not."""
+    t, w = lib(spark, _words(alphabet, 120, 1)), spark.createDataFrame([(s,) for s in [*_words(alphabet, 100, 2), None]], "observed string")
+    scan = sorted(map(tuple, A.assign_exhaustive(w, t, 2).collect()))
+    assert sorted(map(tuple, A.assign_windows(w, t, 2).collect())) == scan
+
+
+def _met(windows, targets):
+    """Counts by distance of each window's targets of its length, without Spark."""
+    rows = pa.RecordBatch.from_pydict({"seq": windows + targets, "target_index": pa.array([None] * len(windows) + list(range(len(targets))), pa.int64())})
+    dealt = pa.Table.from_batches(near2._deal(iter([rows]))).sort_by("bucket").to_batches(max_chunksize=50)
+    got = {}
+    for r in (r for b in near2._meet(A._BITS)(iter(dealt)) for r in b.to_pylist()):
+        got[r["observed"]] = [x + r[f"__n{i}"] for i, x in enumerate(got.get(r["observed"], [0, 0, 0]))]
+    return got
+
+
+@pytest.mark.parametrize("alphabet", ["AC", "ACGTN"])
+def test_two_edits_in_parts(monkeypatch, alphabet):
+    """The same counts with buckets over the limit of rows, and keys and pairs met in parts."""
+    w, t = sorted(set(_words(alphabet, 200, 3))), _words(alphabet, 200, 4)
+    d = {a: [_edits(a, b) for b in t if len(a) == len(b)] for a in w}
+    want = {a: [x.count(i) for i in range(3)] for a, x in d.items() if min(x, default=3) < 3}
+    assert _met(w, t) == want
+    for name, n in (("ROWS", 40), ("KEYS", 60), ("PAIRS", 7)):
+        monkeypatch.setattr(near2, name, n)
+    assert _met(w, t) == want
+
+
+def test_two_edits_make_few_candidates(spark, monkeypatch):
+    """Strings less two symbols are shared by pairs of up to four edits: in a dense library, many times the hits."""
+    seqs = ["".join(x) for x in product("ACGT", repeat=6)]
+    w, met, made = seqs[::64], [], near2._met
+    monkeypatch.setattr(near2, "_met", lambda *x: (met.append(len(a)) or (a, b) for a, b in made(*x)))
+    hits = sum(map(sum, _met(w, seqs).values()))
+    keyed = lambda x: spark.createDataFrame([(s,) for s in x], "s string").select(F.explode(S.deletion_keys("s", 2)).alias("key"))
+    assert hits == sum(_edits(a, b) <= 2 for a in w for b in seqs)
+    assert sum(met) < 2 * hits < 4 * hits < keyed(w).join(keyed(seqs), "key").count()
+
+
+def test_assign_of_two_edits_joins_no_keys_of_equal_lengths(spark, tmp_path):
+    lib(spark, ("ACGTA", "ACGTC")).write.parquet(f"{tmp_path}/lib")
+    made = A.assign(reads(spark, ["ACGTA", "AGGTC", "TTTTT"]), spark.read.parquet(f"{tmp_path}/lib"), 2, start=0, length=5)
+    assert {r.read_id: (r.target_index, r.best_distance, r.match_count) for r in made.collect()} == {0: (0, 0, 2), 1: (1, 1, 2), 2: (-1, -1, 0)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "explode(" not in plan.split("Initial Plan")[0]
