@@ -48,7 +48,7 @@ def count_wide(assigned: DataFrame, targets: DataFrame, samples: list[str], near
     """target_id, target_seq, gene, ambiguous_nearby and for each sample its total and counts by kind."""
     cells = [F.coalesce(F.sum(F.when(F.col("kind") == x, F.col("n"))), F.lit(0)).alias(x) for x in KINDS]
     wide = assigned.where("status = 'unique'").groupBy("target_index").pivot("sample", samples).agg(F.sum("n").alias("total"), *cells)
-    out = targets.join(wide, "target_index", "left").join(near.select("target_index", "ambiguous_nearby"), "target_index")
+    out = targets.join(wide, "target_index", "left").join(A.spread(near.select("target_index", "ambiguous_nearby")), "target_index")
     cols = [f"{s}_{c}" for s in samples for c in ("total", *KINDS)]
     return out.fillna(0, cols).select("target_id", F.col("seq").alias("target_seq"), "gene", "ambiguous_nearby", *cols)
 
